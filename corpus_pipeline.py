@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, mixing, quality, sharding
+from tallyweave.llm import decontaminate, jaccard, mixing, quality, sharding
 from tallyweave.llm.scratch import Scratch
 
 
@@ -12,6 +12,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.distinct(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -26,6 +30,7 @@ def sharding_by_size(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixing_to_targets),
     ("sharding", sharding_by_size),

@@ -136,6 +136,6 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = Scratch(docs.sparkSession).numbered(docs)
     taken = copies(rows, id_col, row_col="_row", **kw).where("copies > 0").select("_row", "copies")
     return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

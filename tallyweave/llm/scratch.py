@@ -7,10 +7,12 @@ machine) is a temporary one made.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +38,15 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def numbered(self, docs: DataFrame) -> DataFrame:
+        """docs with _row, a number that is the same in every job that reads it.
+
+        The places of rows in a table that is read are stable. Rows that come out of a shuffle or a local collection can
+        be dealt in another order when fewer columns are asked for, so those are written first.
+        """
+        plan = docs._jdf.queryExecution().optimizedPlan().toString()
+        nodes = re.findall(r"^[\s:+\-]*(\w+)", plan, re.M)
+        if not all(n in ("Project", "Filter", "Relation") for n in nodes):
+            docs = self.put("rows", docs)
+        return docs.withColumn("_row", F.monotonically_increasing_id())

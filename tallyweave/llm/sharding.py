@@ -55,8 +55,12 @@ def directory(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
 def assignment(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, _row (its place in docs), n_bytes and ADDED, without the text."""
     scratch = Scratch(docs.sparkSession)
+    return _assign(scratch.numbered(docs), scratch, limit, id_col, text_col)
+
+
+def _assign(docs: DataFrame, scratch: Scratch, limit: int, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.octet_length(text).cast("long").alias("_bytes"), F.xxhash64(F.col(id_col), text).alias("_h1"))
+    rows = docs.select(F.col(id_col).alias("_id"), "_row", F.octet_length(text).cast("long").alias("_bytes"), F.xxhash64(F.col(id_col), text).alias("_h1"))
     rows = scratch.put("rows0", rows.withColumn("_h2", F.xxhash64("_row", F.lit(29))))
     placed = directory(rows, limit, scratch)
     return placed.select(F.col("_id").alias(id_col), "_row", F.col("_bytes").alias("n_bytes"), *ADDED)
@@ -64,5 +68,7 @@ def assignment(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", t
 
 def shards(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the shard of each row, joined by the row's place in the input (stable for a table that is read)."""
-    placed = assignment(docs, limit, id_col, text_col).select("_row", *ADDED)
-    return docs.drop(*ADDED).withColumn("_row", F.monotonically_increasing_id()).join(placed, "_row").drop("_row")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.numbered(docs)
+    placed = _assign(rows, scratch, limit, id_col, text_col).select("_row", *ADDED)
+    return rows.drop(*ADDED).join(placed, "_row").drop("_row")
