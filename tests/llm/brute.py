@@ -81,3 +81,38 @@ def jaccard(docs, percent=75, n=5):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     return [{"doc_id": d, "n_shingles": len(sets[i]), "component_id": least.get(find(i))} for i, (d, _) in enumerate(docs)]
+
+
+def sha(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def licences(text):
+    w, phrases = ALNUM.findall((text or "").translate(LOW)), {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    at = sorted((i, x) for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+    return {"n_words": len(w), "n_base": len(at), "first_word": at[0][0] if at else None, "last_word": at[-1][0] if at else None, "base_labels": ",".join(sorted({x for _, x in at}))}
+
+
+def secrets(text):
+    text, out = text or "", []
+    for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    out.sort()
+    return {f"n_{k}": sum(o[3] == k for o in out) for k in ("assign", "access", "hex")} | {"base_sha256": sha((k, a, b) for a, _, b, k in out)}, [f"{k}:{a}:{b}" for a, _, b, k in out]
+
+
+def pii(text):
+    text, out = text or "", []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(sum(divmod(x * (1 + i % 2), 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+    kinds = ["email", "ip", "card", "phone"]
+    out.sort(key=lambda s: (kinds.index(s[0]), s[1]))
+    return {f"n_{k}": sum(s[0] == k for s in out) for k in kinds} | {"base_sha256": sha(out)}, [f"{k}:{a}:{b}" for k, a, b in out]
