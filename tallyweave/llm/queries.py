@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licences, mixing, pii, quality, secrets, sharding, tokencounts
+from . import decontaminate, jaccard, licences, mixing, pii, quality, repeats, secrets, sharding, tokencounts
 
 
 TOKENIZERS = "/opt/tokenizers"
@@ -44,6 +44,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -53,6 +57,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_decontamination, op4_licences, op5_secrets, op6_quality, op7_sharding, op9_token_counts, op10_pii)
+    f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_decontamination, op4_licences, op5_secrets, op6_quality, op7_sharding, op8_repeats, op9_token_counts, op10_pii)
 }
 ORACLES: dict[str, str] = {}
