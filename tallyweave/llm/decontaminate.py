@@ -14,7 +14,7 @@ ids count once in ``n_items``. Other columns of either table are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, map_batches
 
 #: Maps, each with a process and a table of its own, that run in one stage
 CHAINED = 4
@@ -66,96 +66,96 @@ def scan(w: tv.Words, table: Table) -> tuple[np.ndarray, list[set[str]]]:
     return np.cumsum(cover[:-1]) > 0, items
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, n: int, max_windows: int) -> list[list[tuple[str, str]]]:
-    """Items dealt into blocks of about max_windows windows; only one block is held by the driver and sent at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """How many blocks of about max_windows windows the items make, and a function that reads one; the driver holds one at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // (2 * max_windows)))  # a window takes two bytes of text at least
-    if count == 1:
-        yield [(r.i, r.t) for r in items.collect()]
-    for k in range(count if count > 1 else 0):
-        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()]
+    return count, lambda k: [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()]
 
 
-def _state(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, max_windows: int, item_cols: tuple[str, str]) -> DataFrame:
-    """docs with _hits (a bit for each word) and _items added by one map for each block of items."""
+#: What a map has found of a row: which words are hit, and the ids of the items
+Found = tuple[np.ndarray, set[str]]
+
+
+def _scan_all(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, max_windows: int, item_cols: tuple[str, str], finish: Callable, schema) -> DataFrame:
+    """finish(batch, runs of words with what was found in each row) of all batches. Each block of items is a map; all but the last add _hits and _items."""
+    scratch = Scratch(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_hits binary, _items array<string>"])
+    state = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_hits binary, _items array<string>"])
     col = docs.columns.index(text_col)
-    scratch = Scratch(docs.sparkSession)
-    for k, items in enumerate(blocks_of(benchmark, *item_cols, n, max_windows)):
+    count, block = _blocks(benchmark, *item_cols, max_windows)
+    for k in range(count):
         if k and k % CHAINED == 0:
             docs = scratch.put(f"after{k}", docs)
-        shared = sc.broadcast(Table(items, n))
+        shared = sc.broadcast(Table(block(k), n))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0, last=k == count - 1) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for b in batches:
                 had = (b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()) if later else None
-                hits, found = [], []
+                rest = pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]) if later else b
+                out: list[tuple[tv.Words, list[Found]]] = []
                 for w in tv.words(b.column(col), tv.ALNUM):
                     flags, items = scan(w, table)
-                    for r in range(w.last - w.first):
-                        bits = np.packbits(flags[w.at[r] : w.at[r + 1]])
-                        if had:
-                            bits |= np.frombuffer(had[0][w.first + r], np.uint8)
-                            items[r].update(had[1][w.first + r])
-                        hits.append(bits.tobytes())
-                        found.append(sorted(items[r]))
-                rest = b.columns[:-2] if later else b.columns
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names[: len(rest)], "_hits", "_items"])
-
-        docs = docs.mapInArrow(run, schema)
+                    found = [(flags[w.at[r] : w.at[r + 1]], items[r]) for r in range(w.last - w.first)]
+                    for r, (hit, ids) in enumerate(found if had else ()):
+                        hit |= np.unpackbits(np.frombuffer(had[0][w.first + r], np.uint8), count=len(hit)).astype(bool)
+                        ids.update(had[1][w.first + r])
+                    out.append((w, found))
+                if last:
+                    yield finish(rest, out)
+                else:
+                    bits = [np.packbits(hit).tobytes() for _, found in out for hit, _ in found]
+                    ids = [sorted(x) for _, found in out for _, x in found]
+                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=[*rest.schema.names, "_hits", "_items"])
+
+        docs = map_batches(docs, run, schema if k == count - 1 else state)
     return docs
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _is_dirty(hit: np.ndarray, percent: int) -> bool:
+    return bool(hit.any()) and 100 * int(hit.sum()) >= percent * len(hit)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_windows: int = 2_000_000) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 100 * n_hit >= percent * n_words)."""
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    state = _state(chosen, "_text", benchmark, n, max_windows, (item_id_col, item_text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(w.at) for w in tv.words(b.column(1), tv.ALNUM))])
-            n_hit = np.array([int.from_bytes(x.as_py()).bit_count() for x in b.column(2)], np.int64)
-            found = b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]), pa.array((n_hit > 0) & (100 * n_hit >= percent * n_words))],
-                names=["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def finish(b: pa.RecordBatch, out: list[tuple[tv.Words, list[Found]]]) -> pa.RecordBatch:
+        rows = [(len(hit), int(hit.sum()), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), _is_dirty(hit, percent)) for _, found in out for hit, ids in found]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    schema = f"_id {chosen.schema['_id'].dataType.simpleString()}, {RESULT}"
+    return _scan_all(chosen, "_text", benchmark, n, max_windows, (item_id_col, item_text_col), finish, schema).withColumnRenamed("_id", id_col)
+
 
-    return state.mapInArrow(run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("_id", id_col)
+def _without(w: tv.Words, r: int, hit: np.ndarray) -> str:
+    first, at, parts = int(w.at[r]), int(w.offsets[r]), []
+    for s, t in np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2):
+        parts.append(w.data[at : w.start[first + s]].tobytes())
+        at = int(w.end[first + t - 1])
+    return b"".join([*parts, w.data[at : w.offsets[r + 1]].tobytes()]).decode()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", spans: bool = False, max_windows: int = 2_000_000) -> DataFrame:
     """docs without its contaminated rows; with ``spans``, all rows, and the hit words of contaminated ones cut out of the text."""
-    state = _state(docs, text_col, benchmark, n, max_windows, (item_id_col, item_text_col))
     col = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, texts = [], []
-            for w in tv.words(b.column(col), tv.ALNUM):
-                for r in range(w.last - w.first):
-                    a, e = int(w.at[r]), int(w.at[r + 1])
-                    flags = np.unpackbits(np.frombuffer(b.column(b.num_columns - 2)[w.first + r].as_py(), np.uint8), count=e - a).astype(bool)
-                    hit = int(flags.sum())
-                    keep.append(not (hit > 0 and 100 * hit >= percent * (e - a)))
-                    if spans:
-                        raw, at, parts = w.data, int(w.offsets[r]), []
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-                        for s, t in edge.reshape(-1, 2) if not keep[-1] else ():
-                            parts.append(raw[at : w.start[a + s]].tobytes())
-                            at = int(w.end[a + t - 1])
-                        parts.append(raw[at : w.offsets[r + 1]].tobytes())
-                        texts.append(b"".join(parts).decode())
-            out = list(b.columns[:-2])
-            if spans:
-                out[col] = pa.array([None if not b.column(col)[i].is_valid else t for i, t in enumerate(texts)], pa.string())
-            got = pa.RecordBatch.from_arrays(out, names=b.schema.names[:-2])
-            yield got if spans else got.filter(pa.array(keep))
-
-    return state.mapInArrow(run, docs.schema)
+    def finish(b: pa.RecordBatch, out: list[tuple[tv.Words, list[Found]]]) -> pa.RecordBatch:
+        if not spans:
+            return b.filter(pa.array([not _is_dirty(hit, percent) for _, found in out for hit, _ in found], pa.bool_()))
+        texts = b.column(col).to_pylist()
+        for w, found in out:
+            for r, (hit, _) in enumerate(found):
+                if _is_dirty(hit, percent):
+                    texts[w.first + r] = _without(w, r, hit)
+        columns = list(b.columns)
+        columns[col] = pa.array(texts, b.schema.field(col).type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return _scan_all(docs, text_col, benchmark, n, max_windows, (item_id_col, item_text_col), finish, docs.schema)

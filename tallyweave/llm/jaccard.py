@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, map_batches
 
 SKETCH, NEED = 64, 17
 LEAF = 2_000_000
@@ -84,7 +84,7 @@ def points(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(np.array(c2, np.uint64).view(np.int64)), _lists(sketch)], names=["_row", "_id", "n", "c1", "c2", "sketch"]
             )
 
-    return chosen.mapInArrow(run, f"_row long, _id {chosen.schema['_id'].dataType.simpleString()}, n long, c1 long, c2 long, sketch array<long>")
+    return map_batches(chosen, run, f"_row long, _id {chosen.schema['_id'].dataType.simpleString()}, n long, c1 long, c2 long, sketch array<long>")
 
 
 def candidates(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -182,7 +182,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, column: str, text_col: str, n
                 part = b.slice(first, len(sets))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), part.column(2)], names=["node", "n", "set", "_p"])
 
-    made = found.select("_row", "_text", "_p").mapInArrow(run, "node long, n long, set array<long>, _p array<long>")
+    made = map_batches(found.select("_row", "_text", "_p"), run, "node long, n long, set array<long>, _p array<long>")
     return made.select("node", "n", "set", F.explode("_p").alias("p"))
 
 

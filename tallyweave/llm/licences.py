@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, map_batches
 
 K, GAP, NEAR = 3, 3, 40
 #: Share of a template's windows that a span must hold
@@ -110,7 +110,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("pos", pa.int64()), ("h", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), *(pa.array(v, t) for v, t in zip((n_words, n_base, first, last, labels, hits), kinds, strict=True))], names=["_id", "_row", "n_words", "n_base", "first_word", "last_word", "base_labels", "hits"])
 
-    return chosen.mapInArrow(run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {SCANNED}")
+    return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {SCANNED}")
 
 
 def spans(found: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -221,7 +223,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 500, seed: int
 
     import pickle
 
-    rows = found.select("t", "h").mapInArrow(run, "h long, g binary").collect()
+    rows = map_batches(found.select("t", "h"), run, "h long, g binary").collect()
     return fit([pickle.loads(r.g) for r in sorted(rows, key=lambda r: r.h)])
 
 
@@ -248,7 +250,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fiel
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return chosen.mapInArrow(run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("_id", id_col)
+    return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("_id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None, min_prob: float = 0.9) -> DataFrame:
@@ -274,4 +276,4 @@ def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None,
             columns[col] = pa.array(texts, b.schema.field(col).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

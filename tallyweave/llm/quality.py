@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
+from .scratch import map_batches
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -116,7 +117,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
             yield pa.RecordBatch.from_arrays([b.column(0), *m.columns], names=["_id", *m.schema.names])
 
     kind = chosen.schema["_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"_id {kind}, {MEASURES_DDL}").withColumnRenamed("_id", id_col)
+    return map_batches(chosen, run, f"_id {kind}, {MEASURES_DDL}").withColumnRenamed("_id", id_col)
 
 
 def accepted(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -127,4 +128,4 @@ def accepted(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) ->
             m = measure_texts(b.column(b.schema.get_field_index(text_col)), rules)
             yield b.filter(m.column(m.schema.get_field_index("kept")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, map_batches
 from .suffixes import repeated
 
 LENGTH, GRAM = 400, 32
@@ -101,7 +101,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
             owned = pa.ListArray.from_arrays(pa.array(count, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.diff(offs)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sha), owned], names=["_id", "_row", "n_bytes", "c1", "c2", "sha", "owned"])
 
-    return chosen.mapInArrow(run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {SCANNED}")
+    return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {SCANNED}")
 
 
 def _asked(docs: DataFrame, text_col: str, ranges: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _contexts(docs: DataFrame, text_col: str, wanted: DataFrame, length: int, ha
                     [pa.array([x["h"] for x in ranges], pa.int64()), pa.array([batch.column(0)[r].as_py()] * len(ranges), pa.int64()), pa.array([x["a"] for x in ranges], pa.int32()), pa.array(out, kind)], names=["h", "_row", "a", "bytes"]
                 )
 
-    return found.mapInArrow(run, f"h long, _row long, a int, bytes {'array<long>' if hashes else 'binary'}")
+    return map_batches(found, run, f"h long, _row long, a int, bytes {'array<long>' if hashes else 'binary'}")
 
 
 def ranges(docs: DataFrame, found: DataFrame, text_col: str, length: int, scratch: Scratch) -> DataFrame:
@@ -227,7 +227,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], names=["_row", "removed", "spans", "kept"])
 
-    part = texts.mapInArrow(run, "_row long, removed long, spans long, kept string")
+    part = map_batches(texts, run, "_row long, removed long, spans long, kept string")
     whole = found.drop("owned").join(copied, ["c1", "c2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length))
     zero = F.lit(0).cast("long")
     return whole.join(part, "_row", "left").select(
@@ -261,4 +261,4 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             columns[col] = pa.array(texts, b.schema.field(col).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return marked.mapInArrow(run, docs.schema)
+    return map_batches(marked, run, docs.schema)

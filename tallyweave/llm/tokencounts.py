@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import map_batches
+
 LEAF = 64
 #: Characters that the pattern looks at behind a pre-token's end
 LOOK = 2
@@ -180,4 +182,4 @@ def counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
             got = [edited(t, counter, edits(t)) for t in (x.as_py() or "" for x in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], pa.int64()) for i in range(4))], names=["_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded"])
 
-    return chosen.mapInArrow(run, f"_id {chosen.schema['_id'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_after long, n_encoded long").withColumnRenamed("_id", id_col)
+    return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_after long, n_encoded long").withColumnRenamed("_id", id_col)
