@@ -35,7 +35,7 @@ EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)
 
 def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, kind, end, value>> of the leftmost non-overlapping matches whose value is long enough."""
-    both = F.lit(f"(?s)(.*?)({pattern})")
+    both = F.lit(rf"(?s)(.*?)({pattern}|\z)")  # the end of the text is the last match, or each place behind it would be tried up to there
     part = lambda g: F.regexp_extract_all(text, both, F.lit(g))
     zipped = F.arrays_zip(part(1).alias("gap"), part(2).alias("all"), part(2 + group).alias("value"))
     item = "struct<start:int,kind:int,end:int,value:string>"
