@@ -71,7 +71,8 @@ def strip_web(w: Column, matcher: bool = False) -> Column:
 
 
 def _mapped(w: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), w), w)
+    pairs = ",".join(f"{k}:{v}" for k, v in table.items())  # one literal, folded into a map when the plan is made
+    return F.coalesce(F.element_at(F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":")), w), w)
 
 
 def canon_number(w: Column) -> Column:
