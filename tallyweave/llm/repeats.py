@@ -9,7 +9,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 3. Per gram hash, equal contexts (by hash and extent) are repeated as a whole: all their bytes go. Where a gram hash has
    two or more different contexts, one of each is sent to the shard of the gram hash.
 4. A shard lays its contexts out as one string and builds its suffix array; windows whose suffixes have a neighbour with
-   LENGTH equal bytes are repeated. A gram hash with more than HOT different contexts (a passage within a third of all
+   LENGTH equal bytes are repeated. A gram hash with more than HOT_BYTES of different contexts (a passage within a third of all
    documents, differing in what surrounds it) would not fit one task: its windows are hashed one by one and counted in an aggregation.
 5. The repeated byte ranges of each document are merged and cut out.
 
@@ -34,10 +34,11 @@ from .scratch import Scratch, map_batches
 from .suffixes import repeated
 
 LENGTH, GRAM = 400, 32
-HOT = 1500
+#: Bytes of the different contexts of one gram hash that a task takes at most (a suffix array needs about a hundred times that)
+HOT_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
-#: Documents with ranges up to which these are sent to the scan
-SENT = 200_000
+#: Ranges (24 bytes each, with their row about 8 MB) up to which these are sent to the scan
+SENT = 250_000
 
 U = np.uint64
 #: Places that the low bits of a hash give way to, so that the first of equal hashes is the least
@@ -107,7 +108,8 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
 def _asked(docs: DataFrame, text_col: str, ranges: DataFrame) -> DataFrame:
     """The texts with ranges asked of them: _row, _text, _ranges. ranges: one row for each _row."""
     rows = docs.select("_row", F.col(text_col).cast("string").alias("_text"))
-    return rows.join(F.broadcast(ranges) if ranges.count() <= SENT else ranges, "_row")
+    few = (ranges.agg(F.sum(F.size("_ranges"))).first()[0] or 0) <= SENT
+    return rows.join(F.broadcast(ranges) if few else ranges, "_row")
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -172,7 +174,7 @@ def ranges(docs: DataFrame, found: DataFrame, text_col: str, length: int, scratc
     per = scratch.put("per", per)
     equal = owned.join(per.where("c > 1").select("h", "ctx"), ["h", "ctx"]).where("not whole").select("_row", "a", "b")
     groups = per.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("b") - F.col("a")).alias("size")).where("d > 1")
-    wanted = scratch.put("wanted", per.join(groups, "h").select("h", "_row", "a", "b", (F.col("d") > HOT).alias("hot"), "whole", "c"))
+    wanted = scratch.put("wanted", per.join(groups, "h").select("h", "_row", "a", "b", (F.col("size") > HOT_BYTES).alias("hot"), "whole", "c"))
     size = wanted.where("not hot").agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0
     shards = max(1, size // SHARD_BYTES)
     contexts = _contexts(docs, text_col, wanted.where("not hot").select("h", "_row", "a", "b"), length, False)

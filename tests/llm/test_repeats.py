@@ -19,16 +19,16 @@ def corpus(seed=2):
     return docs
 
 
-@pytest.mark.parametrize("hot", [1500, 3])
+@pytest.mark.parametrize("hot", [4_000_000, 300])
 def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(repeats, "SENT", 0 if hot == 3 else 1000)
+    monkeypatch.setattr(repeats, "SENT", 0 if hot == 300 else 1000)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, bytes string, h int")
     got = sorted((r.asDict() for r in repeats.report(docs, length=50, gram=8).collect()), key=str)
     assert got == sorted(brute.repeats(rows, 50), key=str)
-    if hot > 3:
+    if hot > 300:
         kept = {r.h: r.text for r in repeats.cleaned(docs, length=50, gram=8).collect()}
         want = list(brute.repeats(rows, 50))
         assert all(len((kept[i] or "").encode()) <= w["n_bytes"] - w["n_removed"] <= len((kept[i] or "").encode()) + 2 * w["n_spans"] for i, w in enumerate(want))
