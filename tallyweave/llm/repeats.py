@@ -13,8 +13,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
    documents, differing in what surrounds it) would not fit one task: its windows are hashed one by one and counted in an aggregation.
 5. The repeated byte ranges of each document are merged and cut out.
 
-Texts are joined to the ranges asked of them by their place in the input: those ranges are sent to the scan where they are few, and
-texts are shuffled otherwise. Defined results: a null or empty text has 0 bytes, nothing removed, and the hash of the
+Texts are joined to the ranges asked of them by their place in the input, by a shuffle at every size. Defined results: a null or empty text has 0 bytes, nothing removed, and the hash of the
 empty string; ``n_spans`` counts maximal removed runs; repeated rows are copies of each other; offsets are UTF-8 bytes, so what is left need not be
 valid UTF-8 (``cleaned`` drops broken characters at the cuts); extra columns are not read; an empty table gives an empty result.
 """
@@ -37,8 +36,6 @@ LENGTH, GRAM = 400, 32
 #: Bytes of the different contexts of one gram hash that a task takes at most (a suffix array needs about a hundred times that)
 HOT_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
-#: Ranges (24 bytes each, with their row about 8 MB) up to which these are sent to the scan
-SENT = 250_000
 
 U = np.uint64
 #: Places that the low bits of a hash give way to, so that the first of equal hashes is the least
@@ -108,8 +105,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
 def _asked(docs: DataFrame, text_col: str, ranges: DataFrame) -> DataFrame:
     """The texts with ranges asked of them: _row, _text, _ranges. ranges: one row for each _row."""
     rows = docs.select("_row", F.col(text_col).cast("string").alias("_text"))
-    few = (ranges.agg(F.sum(F.size("_ranges"))).first()[0] or 0) <= SENT
-    return rows.join(F.broadcast(ranges) if few else ranges, "_row")
+    return rows.join(ranges, "_row")
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:

@@ -23,7 +23,6 @@ def corpus(seed=2):
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(repeats, "SENT", 0 if hot == 300 else 1000)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, bytes string, h int")
     got = sorted((r.asDict() for r in repeats.report(docs, length=50, gram=8).collect()), key=str)
