@@ -37,6 +37,20 @@ def test_quality_keeps_clean_documents(spark):
     assert got.where("not kept").count() == 0
 
 
+def test_quality_bands_are_those_of_the_labels_and_reject(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = docs_of(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    assert quality.fit(docs, labels) == quality.Rules()
+    bad = quality.measure(docs).join(labels, "doc_id").where("quality = 0 and not base_failed")
+    assert bad.count() == 291 and bad.where("not kept").count() == 172
+
+
+def test_quality_reads_the_tail_chunk(spark):
+    prose = docs_of(spark).where("length(text) > 4000").orderBy("doc_id").first().text.encode("ascii", "ignore").decode()[:2048]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame([(1, prose), (2, prose + "ab " * 600)], "doc_id long, text string")).collect()}
+    assert got[1].odd_chunk_share == 0.0 and got[2].odd_chunk_share == 0.5
+
+
 @pytest.mark.parametrize("most", [2_000_000, 1_000])
 def test_decontamination(spark, most):
     docs = docs_of(spark)
