@@ -9,8 +9,8 @@ certain to at least ``min_prob`` become further spans, of the kind that they rep
 
 The field's weights are fitted by pseudo-likelihood (a multinomial regression of each token's label on its shape, its neighbours'
 labels and its skip neighbours' labels) on a bounded sample, ``sample`` documents in hash order with a digit or an @; the labels are the
-patterns' own. Everything else runs over whole texts of all documents. Time and memory are linear in the text: equal tokens are
-linked in a row, not in pairs.
+patterns' own. Everything else runs over whole texts of all documents. Memory is linear in the text: equal tokens are linked in a row and
+to the latest observed one (the first if none lies before), not in pairs. Messages go round until they settle.
 
 Defined results: a null or empty text has no spans; offsets are code points; repeated rows get equal results; extra columns are not
 read by ``report``; an empty table gives an empty result (the weights are then 0).
@@ -85,6 +85,7 @@ class Graph:
     label: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    group: np.ndarray  # number of a token's key: tokens with the same digits or letters
 
 
 N_SHAPE = 16
@@ -120,12 +121,20 @@ def graph(text: str, spans: list[Span]) -> Graph | None:
     at_ = np.array(at)
     chain = np.flatnonzero(np.diff(at_) == 1)
     last: dict[str, int] = {}
+    number: dict[str, int] = {}
     skip = []
     for i, key in enumerate(keys):
         if key in last and at[i] - at[last[key]] > 1:
             skip.append((last[key], i))
         last[key] = i
-    return Graph(s, e, np.array(shapes, float), label, np.stack([chain, chain + 1], 1), np.array(skip, np.int64).reshape(-1, 2))
+    seen = {key: i for i, key in reversed(list(enumerate(keys))) if label[i]}  # the first observed one of each key, then the latest so far
+    row = set(skip)
+    for i, key in enumerate(keys):
+        if label[i]:
+            seen[key] = i
+        elif key in seen and abs(at[i] - at[o := seen[key]]) > 1 and (edge := (min(i, o), max(i, o))) not in row:
+            skip.append(edge)
+    return Graph(s, e, np.array(shapes, float), label, np.stack([chain, chain + 1], 1), np.array(skip, np.int64).reshape(-1, 2), np.array([number.setdefault(key, len(number)) for key in keys]))
 
 
 @dataclass
@@ -162,8 +171,9 @@ def fit(graphs: list[Graph], steps: int = 200, l2: float = 1e-3) -> Field:
     return Field(w[:N_SHAPE], (a + b.T) / 2, (c + c.T) / 2)
 
 
-def propagate(g: Graph, f: Field, rounds: int = 12, observed: float = 30.0) -> np.ndarray:
-    """Marginals by loopy sum-product; tokens in base spans are held at their label. Messages go along all edges at once."""
+def propagate(g: Graph, f: Field, settled: float = 1e-3, observed: float = 30.0) -> np.ndarray:
+    """Marginals by loopy sum-product; tokens in base spans are held at their label. Messages go along all edges at once, until none changes
+    by ``settled`` (of a log potential). On loops they may swing for ever: the rounds end at four for each token of the longest row of repeats."""
     n, k = len(g.label), len(LABELS)
     unary = g.shape @ f.unary
     unary[g.label > 0] = -observed
@@ -174,20 +184,24 @@ def propagate(g: Graph, f: Field, rounds: int = 12, observed: float = 30.0) -> n
     pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
     m, back = np.zeros((len(src), k)), np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     belief = unary.copy()
+    rounds = 100 + 4 * int(np.bincount(g.group).max())
     for _ in range(rounds if len(edges) else 0):
         out = (belief[src] - m[back])[:, :, None] + pot
         top = out.max(1, keepdims=True)
         new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
         new -= new.max(1, keepdims=True)
+        change = np.abs(new - m).max()
         m = 0.5 * m + 0.5 * new
         belief = unary.copy()
         np.add.at(belief, dst, m)
+        if change < settled:
+            break
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
 def added_spans(text: str, base: list[Span], field: Field, min_prob: float) -> list[Span]:
-    """Unobserved tokens that repeat an observed one (through skip edges or a neighbour that does) with a certain label."""
+    """Unobserved tokens that repeat an observed one, however many repeats lie between, with a certain label."""
     if not base:
         return []  # nothing is observed that could be repeated
     g = graph(text, base)
@@ -195,9 +209,7 @@ def added_spans(text: str, base: list[Span], field: Field, min_prob: float) -> l
         return []
     p = propagate(g, field)
     best = p.argmax(1)
-    kin = np.zeros(len(best), bool)
-    tied = (g.label[g.skip] > 0).any(1)
-    kin[g.skip[tied].ravel()] = True
+    kin = np.isin(g.group, g.group[g.label > 0])
     hit = np.flatnonzero((g.label == 0) & (best > 0) & (p.max(1) >= min_prob) & kin)
     return [(LABELS[best[i]], int(g.start[i]), int(g.end[i])) for i in hit]
 

@@ -83,6 +83,22 @@ def test_propagation_makes_repeated_tokens_agree():
     assert [text[a:b] for _, a, b in pii.added_spans(text, base, field, 0.9)] == ["555-5526"]
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_propagation_reaches_every_repeat(spark, n):
+    text = ("His 555-5526 early. " + "word " * 30) * (n > 1) + "Call +1 (243) 555-5526 now. " + ("word " * 30 + "His 555-5526 again and 777-1234 ") * n
+    field = pii.Field(*(pii.np.zeros((pii.N_SHAPE, 5)), pii.np.zeros((5, 5)), 4 * pii.np.eye(5)))
+    added = pii.added_spans(text, pii.base_spans(text), field, 0.9)
+    assert [text[a:b] for _, a, b in added] == ["555-5526"] * (n + (n > 1)) and {k for k, *_ in added} == {"phone"}
+    out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), field=field).first().text
+    assert "5526" not in out and out.count("777-1234") == n
+
+
+def test_repeats_with_fitted_weights(spark):
+    field = pii.train(docs_of(spark))
+    text = "Call +1 (243) 555-5526 now. " + ("word " * 30 + "His (243) 555-5526 again ") * 5
+    assert len(pii.added_spans(text, pii.base_spans(text), field, 0.9)) == 10
+
+
 def test_token_counts(spark):
     df = odd(spark)
     for d in (df, docs_of(spark).limit(300)):
