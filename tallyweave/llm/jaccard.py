@@ -248,7 +248,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     if percent < 75:
         raise ValueError("the sketch's bounds hold for 75 percent and more")
     scratch = Scratch(docs.sparkSession)
-    return _join(scratch.numbered(docs), scratch, id_col, text_col, n, percent)
+    return _join(scratch.numbered(docs.select(id_col, text_col)), scratch, id_col, text_col, n, percent)
 
 
 def _join(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:

@@ -135,7 +135,7 @@ def spans(found: DataFrame) -> DataFrame:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.put("scanned", scanned(scratch.numbered(docs), id_col, text_col))
+    found = scratch.put("scanned", scanned(scratch.numbered_once(docs), id_col, text_col))
     extra = spans(found).groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"), F.count(F.lit(1)).alias("n_spans"))
     out = found.drop("hits").join(extra, "_row", "left")
     every = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))

@@ -207,7 +207,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, found, cut, copied = _found(docs, id_col, text_col, length, gram)
+    rows, found, cut, copied = _found(docs.select(id_col, text_col), id_col, text_col, length, gram)
     texts = _asked(rows, text_col, cut).select("_row", "_text", "_ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,6 @@ machine) is a temporary one made.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -53,13 +52,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def numbered(self, docs: DataFrame) -> DataFrame:
-        """docs with _row, a number that is the same in every job that reads it.
+        """docs with _row, a number that is the same in every job that reads it, as it is written with the rows.
 
-        The places of rows in a table that is read are stable. Rows that come out of a shuffle or a local collection can
-        be dealt in another order when fewer columns are asked for, so those are written first.
+        The places of rows are not stable, not even in a table that is read: files are split by the number of cores
+        that are registered when a job starts. So all jobs must read this copy.
         """
-        plan = docs._jdf.queryExecution().optimizedPlan().toString()
-        nodes = re.findall(r"^[\s:+\-]*(\w+)", plan, re.M)
-        if not all(n in ("Project", "Filter", "Relation") for n in nodes):
-            docs = self.put("rows", docs)
+        self.numbered_once(docs).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/rows")
+        return self.spark.read.schema(self.numbered_once(docs).schema).parquet(f"{self.base}/rows")
+
+    @staticmethod
+    def numbered_once(docs: DataFrame) -> DataFrame:
+        """docs with _row for a single job, whose written result is all that later jobs read."""
         return docs.withColumn("_row", F.monotonically_increasing_id())

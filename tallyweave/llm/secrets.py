@@ -78,7 +78,7 @@ def _named(spans: Column) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", owner_col: str | None = None, own: int = 2) -> DataFrame:
     """Per document: n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put("candidates", candidates(scratch.numbered(docs), id_col, text_col, repo_col, owner_col))
+    rows = scratch.put("candidates", candidates(scratch.numbered_once(docs), id_col, text_col, repo_col, owner_col))
     some = rows.where(F.size("base") + F.size("more") > 0)
     values = some.select("_row", "_repo", "_owner", F.explode(F.concat("base", "more")).alias("s")).withColumn("hash", F.sha2("s.value", 256)).drop("_text")
     values = scratch.put("values", values)

@@ -55,7 +55,7 @@ def directory(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
 def assignment(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, _row (its place in docs), n_bytes and ADDED, without the text."""
     scratch = Scratch(docs.sparkSession)
-    return _assign(scratch.numbered(docs), scratch, limit, id_col, text_col)
+    return _assign(scratch.numbered_once(docs), scratch, limit, id_col, text_col)
 
 
 def _assign(docs: DataFrame, scratch: Scratch, limit: int, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _assign(docs: DataFrame, scratch: Scratch, limit: int, id_col: str, text_col
 
 
 def shards(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the shard of each row, joined by the row's place in the input (stable for a table that is read)."""
+    """docs with the shard of each row, joined by the number of the row, which is written with it."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.numbered(docs)
     placed = _assign(rows, scratch, limit, id_col, text_col).select("_row", *ADDED)

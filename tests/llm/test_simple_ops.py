@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, mixing, quality, sharding
+from tallyweave.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "Ärger #1 Ärger"), (None, "a b c a b c"), (4, "Ärger #1 Ärger"), (7, "x" * 300_000), (8, "one two three\n" * 400)]
@@ -106,6 +107,21 @@ def test_mixing_splits_hot_classes(spark, monkeypatch):
     assert abs(sum(want) - got.where("source_size = 2700").first().target) <= 3
 
 
+def test_row_numbers_do_not_depend_on_file_splits(spark, tmp_path):
+    docs_of(spark).repartition(6, "doc_id").write.parquet(f"file://{tmp_path}/docs")
+    rows_ = Scratch(spark).numbered(spark.read.parquet(f"file://{tmp_path}/docs"))
+    first = {r._row: r.doc_id for r in rows_.select("_row", "doc_id").collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1k", "30k", "512m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert {r._row: r.doc_id for r in rows_.select("_row", "doc_id").collect()} == first
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_sharding(spark):
     docs = docs_of(spark).unionByName(odd(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_chars")))
     same = docs.where("doc_id = 5")
