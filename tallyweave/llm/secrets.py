@@ -26,8 +26,8 @@ BASE = [
 ]
 MORE = [
     ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)", 1, 20),
-    ("url", r"[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,80}:([^\s:/@]{6,200})@", 1, 6),
-    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]*+[A-Za-z0-9])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])([A-Za-z0-9+/_-]{24,200}+={0,2})", 1, 24),
+    ("url", r"[a-z][a-z0-9+]{1,15}://[^\s:/@]++:([^\s:/@]{6,}+)@", 1, 6),
+    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]*+[A-Za-z0-9])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])([A-Za-z0-9+/_-]{24,}+={0,2})", 1, 24),
 ]
 ORDER = [k for k, *_ in BASE + MORE]
 EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"

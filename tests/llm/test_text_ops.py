@@ -61,6 +61,15 @@ def test_secrets(spark):
     assert secrets.report(df.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length_are_whole(spark):
+    key = "aB3" * 70
+    texts = [f"key {key}{i}{'xY7' * 30}{i} end" for i in range(4)] + ["see https://" + "u" * 100 + ":" + "p" * 300 + "@db.example.com/x"]
+    rows = [(i, t, f"repo{i}") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i].spans for i in range(4)] == ["mixed:4:306"] * 4 and all(got[i].n_live == 1 for i in range(4))
+    assert f"url:4:{texts[4].index('@') + 1}" in got[4].spans.split(",")
+
+
 def test_pii(spark):
     texts = noise(3, ["a@b.c", "x.y", "@", ".", "-", " ", "+1", "(555)", "123", "10.0.0.1", "4111 1111 1111 1111", "256.1.1.1", "5500000000000004", "ü", "\n", "99"], 500)
     df = odd(spark, [(100 + i, t) for i, t in enumerate(texts)])
