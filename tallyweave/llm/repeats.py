@@ -1,21 +1,26 @@
 """Removal of long repeated substrings: suffix arrays over shards, each built by induced sorting.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else in the corpus (the same document included).
-
-1. Documents of LENGTH bytes or more with an equal text elsewhere go whole; one of each class stays in the search as a partner.
-2. Owners. Every LENGTH-byte window is owned by the lowest hash of GRAM bytes inside it (the first of equal ones). Equal windows own equal
-   grams at equal places, so two windows can be equal only if their owners' hashes are. A gram owns a run of neighbouring windows, about
-   half of LENGTH, and its context is the bytes of that run; each window is in exactly one context.
-3. Per gram hash, equal contexts (by hash and extent) are repeated as a whole: all their bytes go. Where a gram hash has
-   two or more different contexts, one of each is sent to the shard of the gram hash.
-4. A shard lays its contexts out as one string and builds its suffix array; windows whose suffixes have a neighbour with
-   LENGTH equal bytes are repeated. A gram hash with more than HOT_BYTES of different contexts (a passage within a third of all
-   documents, differing in what surrounds it) would not fit one task: its windows are hashed one by one and counted in an aggregation.
-5. The repeated byte ranges of each document are merged and cut out.
-
-Texts are joined to the ranges asked of them by their place in the input, by a shuffle at every size. Defined results: a null or empty text has 0 bytes, nothing removed, and the hash of the
-empty string; ``n_spans`` counts maximal removed runs; repeated rows are copies of each other; offsets are UTF-8 bytes, so what is left need not be
-valid UTF-8 (``cleaned`` drops broken characters at the cuts); extra columns are not read; an empty table gives an empty result.
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus (the same document included).
+Shorter repeated strings, of ``passage`` bytes, are reported by the same search and not removed.
+
+1. Owners. Every window of ``passage`` bytes is owned by the lowest hash of ``gram`` bytes inside it (the first of equal ones). Equal windows own equal
+   grams at equal places. Neighbouring windows with one owner make a run, cut where the gram's place in the window passes a multiple of
+   a width, so that all windows of a run hold a common core: the bytes around the gram that every such window has. Runs whose cores
+   (by hash) differ have no equal windows. A run's context is its bytes and what follows, up to ``length`` from its last start;
+   equal strings of ``length`` bytes begin with equal windows, so they too are found within one core.
+2. Cores that occur once end here. Equal contexts (by hash and extent) are repeated as a whole. Where a core has two or more different
+   contexts, one of each is sent to the shard of the core.
+3. A shard lays its contexts out as one string and builds its suffix array and permuted common prefixes; starts that share ``passage`` or
+   ``length`` bytes with another start are repeated.
+4. A core with more than HOT_BYTES of different contexts (a passage within a third of all documents, differing in what surrounds it) would
+   not fit one task: its runs are cut to the next of WIDTHS, which makes cores longer, and dealt anew. At width 1 a core is the window.
+5. Documents of ``length`` bytes or more with an equal text elsewhere go whole; one of each class stays in the search as a partner. The repeated byte
+   ranges of the others are merged and cut out.
+
+Defined results: a null or empty text has 0 bytes, nothing removed, and the hash of the empty string; ``n_spans`` counts maximal removed
+runs; repeated rows are copies of each other; offsets are UTF-8 bytes, so what is left need not be
+valid UTF-8 (``cleaned`` drops broken characters at the cuts); very long texts are scanned SEGMENT bytes at a time; extra columns are not
+read by ``report`` and kept by ``cleaned``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import Scratch, map_batches
-from .suffixes import repeated
+from .scratch import Scratch, fresh, map_batches, own
+from .suffixes import common_prefixes, repeated, suffix_array
 
-LENGTH, GRAM = 400, 32
-#: Bytes of the different contexts of one gram hash that a task takes at most (a suffix array needs about a hundred times that)
-HOT_BYTES = 4_000_000
+LENGTH, PASSAGE, GRAM = 400, 256, 24
+#: Bytes of the different contexts of one core that a task takes at most (a suffix array needs about a hundred times that)
+HOT_BYTES = 1_000_000
 SHARD_BYTES = 1_000_000
+#: Places of the gram in its window that a run's windows may span, as parts of all places, until single windows
+WIDTHS = (2, 16)
+#: Window starts that are worked on at once
+SEGMENT = 1 << 19
 
 U = np.uint64
-#: Places that the low bits of a hash give way to, so that the first of equal hashes is the least
+#: The low bits of a hash give way to places, so that the first of equal hashes is the least
 PLACES = 1 << 20
 
 
@@ -50,140 +59,184 @@ def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each owner: gram hash, first and last window start, context hash (with the gram's place in it). data has length bytes or more."""
-    n, w = len(data), length - gram + 1
+def _runs_of(data: np.ndarray, length: int, passage: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    n, w = len(data), passage - gram + 1
     up, down = tv.powers(n + 1)
     sums = np.zeros(n + 1, U)
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
         h = tv.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-        low, block = U(PLACES - 1), PLACES - w  # windows of one block; blocks overlap by what their last window needs
-        own = []
-        for s in range(0, len(h) - w + 1, block):
-            part = h[s : s + block + w - 1]
-            own.append((_slide_min((part & ~low) | np.arange(len(part), dtype=U), w) & low).astype(np.int64) + s)
-        own = np.concatenate(own)
-        cut = np.flatnonzero(own[1:] != own[:-1]) + 1
+        low = U(PLACES - 1)
+        place = (_slide_min((h & ~low) | np.arange(len(h), dtype=U), w) & low).astype(np.int64)
+        block = (place - np.arange(len(place))) // width
+        cut = np.flatnonzero((place[1:] != place[:-1]) | (block[1:] != block[:-1])) + 1
         first = np.concatenate([[0], cut])
-        last = np.concatenate([cut - 1, [len(own) - 1]])
-        pos = own[first]
-        end = last + length
-        ctx = tv.mix((sums[end] - sums[first]) * down[first] + (pos - first).astype(U) * U(0x9E3779B1) + (end - first).astype(U) * U(0x85EBCA77C2B2AE63))
-    return h[pos], first, last, ctx
+        last = np.concatenate([cut - 1, [len(place) - 1]])
+        pos, block = place[first], block[first]
+        core = pos - block * width  # the latest start of such a window, and the end of the earliest
+        core_end = pos - np.minimum((block + 1) * width - 1, w - 1) + passage
+        end = np.minimum(last + length, n)
+        key = tv.mix((sums[core_end] - sums[core]) * down[core] + (block * PLACES + width).astype(U))
+        ctx = tv.mix((sums[end] - sums[first]) * down[first] + (pos - first).astype(U) * U(0x9E3779B1) + (end - first).astype(U) * U(0x85EBCA77C2B2AE63) + (last - first).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    return key, ctx, first, last, end
 
 
-SCANNED = "_row long, n_bytes long, c1 long, c2 long, sha string, owned array<struct<h:long,ctx:long,a:int,b:int>>"
+def runs_of(data: np.ndarray, length: int, passage: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of each run: core, context, first and last window start, end of the context. data has passage bytes or more."""
+    starts = len(data) - passage + 1
+    parts = []
+    for s in range(0, starts, SEGMENT):
+        many = min(SEGMENT, starts - s)
+        key, ctx, first, last, end = _runs_of(data[s : s + many - 1 + length], length, passage, gram, width)
+        mine = first < many  # the rest of the segment's windows are the next one's
+        parts.append((key[mine], ctx[mine], first[mine] + s, np.minimum(last[mine], many - 1) + s, end[mine] + s))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
-    """Size, content hash and owners (with the byte range of their contexts) of each document."""
-    chosen = docs.select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+RUN = "key:long,ctx:long,a:int,z:int,e:int"
+ITEM = pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("e", pa.int32())])
+
+
+def _width(passage: int, gram: int, level: int) -> int:
+    places = passage - gram + 1
+    return max(1, -(-places // WIDTHS[level])) if level < len(WIDTHS) else 1
+
+
+def scanned(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
+    """Size, content hash and runs of each document (_row, _id, _text)."""
+    width = _width(passage, gram, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.struct([("h", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
         for b in batches:
             data, offs = tv.text_buffers(b.column(2))
             c1, c2, sha, parts, count = [], [], [], [], [0]
             for r in range(len(b)):
                 d = data[offs[r] : offs[r + 1]]
                 digest = hashlib.sha256(d)
-                sha.append(digest.hexdigest())
+                sha.append(digest.digest())
                 c1.append(int.from_bytes(digest.digest()[:8], "big", signed=True))
                 c2.append(int.from_bytes(digest.digest()[8:16], "big", signed=True))
-                if len(d) >= length:
-                    parts.append(owners(d, length, gram))
-                count.append(count[-1] + (len(parts[-1][0]) if len(d) >= length else 0))
-            join = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U)] * 4
-            values = pa.StructArray.from_arrays([pa.array(join[0].view(np.int64)), pa.array(join[3].view(np.int64)), pa.array(join[1].astype(np.int32)), pa.array((join[2] + length * (len(join[2]) > 0)).astype(np.int32))], fields=list(item))
-            owned = pa.ListArray.from_arrays(pa.array(count, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.diff(offs)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sha), owned], names=["_id", "_row", "n_bytes", "c1", "c2", "sha", "owned"])
+                if len(d) >= passage:
+                    parts.append(runs_of(d, length, passage, gram, width))
+                count.append(count[-1] + (len(parts[-1][0]) if len(d) >= passage else 0))
+            join = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U)] * 5
+            values = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in join[:2]] + [pa.array(x.astype(np.int32)) for x in join[2:]], fields=list(ITEM))
+            found = pa.ListArray.from_arrays(pa.array(count, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.diff(offs)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sha, pa.binary()), found], names=["_id", "_row", "n_bytes", "c1", "c2", "sha", "runs"])
 
-    return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {SCANNED}")
+    return map_batches(docs.select("_row", "_id", "_text"), run, f"_id {docs.schema['_id'].dataType.simpleString()}, _row long, n_bytes long, c1 long, c2 long, sha binary, runs array<struct<{RUN}>>")
 
 
-def _asked(docs: DataFrame, text_col: str, ranges: DataFrame) -> DataFrame:
+def _asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The texts with ranges asked of them: _row, _text, _ranges. ranges: one row for each _row."""
-    rows = docs.select("_row", F.col(text_col).cast("string").alias("_text"))
-    return rows.join(ranges, "_row")
+    return docs.select("_row", "_text").join(ranges, "_row").select("_row", "_text", "_ranges")
 
 
-def _runs(flags: np.ndarray) -> np.ndarray:
+def _stretches(flags: np.ndarray) -> np.ndarray:
     """First and end of each run of true flags, as rows."""
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).reshape(-1, 2)
 
 
-def _shard(length: int):
+FOUND = "_row long, long boolean, a int, b int"
+
+
+def _shard(length: int, passage: int):
     def run(t: pa.Table) -> pa.Table:
         texts = [x.as_py() for x in t.column("bytes")]
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         sizes = np.array([len(x) for x in texts])
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        starts = np.zeros(len(data) + 1, np.int32)
-        np.add.at(starts, at[:-1], 1)
-        np.add.at(starts, at[:-1] + sizes - length + 1, -1)
-        flags = repeated(data, np.cumsum(starts[:-1]) > 0, length)
-        runs = _runs(flags)
-        k = np.searchsorted(at, runs[:, 0], side="right") - 1  # a context's last start is followed by one without a window, so runs stay inside
-        row, first = t.column("_row").to_numpy(), t.column("a").to_numpy()
-        return pa.table({"_row": row[k], "a": (first[k] + runs[:, 0] - at[k]).astype(np.int32), "b": (first[k] + runs[:, 1] - 1 - at[k] + length).astype(np.int32)})
+        row, first, last = (t.column(c).to_numpy() for c in ("_row", "a", "z"))
+        order = suffix_array(data)
+        prefixes = common_prefixes(data, order)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for size in (passage, length):
+            starts = np.zeros(len(data) + 1, np.int32)
+            np.add.at(starts, at[:-1], 1)
+            np.add.at(starts, at[:-1] + np.clip(sizes - size + 1, 0, last - first + 1), -1)
+            # the last start of a context is followed by bytes that are none, so stretches stay inside
+            found = _stretches(repeated(order, prefixes, np.cumsum(starts[:-1]) > 0, size))
+            k = np.searchsorted(at, found[:, 0], side="right") - 1
+            shift = first[k].astype(np.int64) - at[k]
+            for x, v in zip(out, (row[k], np.full(len(k), size == length), found[:, 0] + shift, found[:, 1] - 1 + shift + size), strict=True):
+                x.append(v)
+        return pa.table({"_row": np.concatenate(out[0]), "long": np.concatenate(out[1]), "a": np.concatenate(out[2]).astype(np.int32), "b": np.concatenate(out[3]).astype(np.int32)})
 
     return run
 
 
-def _contexts(docs: DataFrame, text_col: str, wanted: DataFrame, length: int, hashes: bool) -> DataFrame:
-    """h, _row, a and the bytes (or the hashes of all windows) of the wanted contexts (h, _row, a, b)."""
-    ranges = wanted.groupBy("_row").agg(F.collect_list(F.struct("h", "a", "b")).alias("_ranges"))
-    found = _asked(docs, text_col, ranges).select("_row", "_text", "_ranges")
+def _of_texts(docs: DataFrame, wanted: DataFrame, make, columns: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    """What make(text, run) yields (tuples of values) of the wanted runs, after _row."""
+    ranges = wanted.groupBy("_row").agg(F.collect_list(F.struct("key", "a", "z", "e", "whole")).alias("_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tv.text_buffers(batch.column(1))
             for r, ranges in enumerate(batch.column(2).to_pylist()):
                 d = data[offs[r] : offs[r + 1]]
-                out = []
-                if hashes:
-                    up, down = tv.powers(len(d) + 1)
-                    with np.errstate(over="ignore"):
-                        sums = np.zeros(len(d) + 1, U)
-                        np.cumsum((d.astype(U) + U(1)) * up[: len(d)], out=sums[1:])
-                        for x in ranges:
-                            s = np.arange(x["a"], x["b"] - length + 1)
-                            out.append(tv.mix((sums[s + length] - sums[s]) * down[s]).view(np.int64))
-                else:
-                    out = [d[x["a"] : x["b"]].tobytes() for x in ranges]
-                kind = pa.list_(pa.int64()) if hashes else pa.binary()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["h"] for x in ranges], pa.int64()), pa.array([batch.column(0)[r].as_py()] * len(ranges), pa.int64()), pa.array([x["a"] for x in ranges], pa.int32()), pa.array(out, kind)], names=["h", "_row", "a", "bytes"]
-                )
-
-    return map_batches(found, run, f"h long, _row long, a int, bytes {'array<long>' if hashes else 'binary'}")
-
-
-def ranges(docs: DataFrame, found: DataFrame, text_col: str, length: int, scratch: Scratch) -> DataFrame:
-    """_row, ranges: the repeated byte ranges (not merged) of documents that are not copies as a whole. docs has _row."""
-    classes = found.where(F.col("n_bytes") >= length).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("_row").alias("_row"))
-    classes = scratch.put("classes", classes)
-    owned = found.join(classes.select("_row", "m"), "_row").select("_row", (F.col("m") > 1).alias("whole"), F.explode("owned").alias("o")).select("_row", "whole", "o.*")
-    owned = scratch.put("owned", owned)
-    per = owned.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("c"), F.first("_row").alias("_row"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("whole").alias("whole"))
-    per = scratch.put("per", per)
-    equal = owned.join(per.where("c > 1").select("h", "ctx"), ["h", "ctx"]).where("not whole").select("_row", "a", "b")
-    groups = per.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("b") - F.col("a")).alias("size")).where("d > 1")
-    wanted = scratch.put("wanted", per.join(groups, "h").select("h", "_row", "a", "b", (F.col("size") > HOT_BYTES).alias("hot"), "whole", "c"))
-    size = wanted.where("not hot").agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0
-    shards = max(1, size // SHARD_BYTES)
-    contexts = _contexts(docs, text_col, wanted.where("not hot").select("h", "_row", "a", "b"), length, False)
-    shard = F.pmod(F.xxhash64("h"), F.lit(shards))
-    near = contexts.select(shard.alias("shard"), "_row", "a", "bytes").groupBy("shard").applyInArrow(_shard(length), "_row long, a int, b int")
-    out = equal.unionByName(near)
-    if not wanted.where("hot").isEmpty():
-        hot = _contexts(docs, text_col, wanted.where("hot").select("h", "_row", "a", "b"), length, True)
-        starts = hot.select("_row", "a", F.posexplode("bytes").alias("p", "w")).select("_row", (F.col("a") + F.col("p")).alias("a"), "w")
-        starts = scratch.put("starts", starts)
-        twice = starts.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
-        out = out.unionByName(starts.join(twice, "w").select("_row", "a", (F.col("a") + length).alias("b")))
-    return scratch.put("ranges", out.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_ranges")))
+                rows = [v for x in ranges for v in make(d, x)]
+                row = pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([row, *(pa.array([v[i] for v in rows], kind) for i, (_, kind) in enumerate(columns))], names=["_row", *(c for c, _ in columns)])
+
+    return map_batches(_asked(docs, ranges), run, f"_row long, {ddl}")
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    def make(d: np.ndarray, x: dict):
+        yield x["key"], x["a"], x["z"], d[x["a"] : x["e"]].tobytes()
+
+    return _of_texts(docs, wanted, make, [("key", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("bytes", pa.binary())], "key long, a int, z int, bytes binary")
+
+
+def _finer(docs: DataFrame, wanted: DataFrame, length: int, passage: int, gram: int, width: int) -> DataFrame:
+    """The wanted runs cut to a smaller width."""
+
+    def make(d: np.ndarray, x: dict):
+        key, ctx, a, z, e = runs_of(d[x["a"] : x["e"]], length, passage, gram, width)
+        a, z, e = (v + x["a"] for v in (a, z, e))
+        z = np.minimum(z, x["z"])  # windows behind the last start are other runs'
+        yield from ((*v, x["whole"]) for v in zip(key.view(np.int64).tolist(), ctx.view(np.int64).tolist(), a.tolist(), z.tolist(), e.tolist(), strict=True) if v[2] <= v[3])
+
+    return _of_texts(docs, wanted, make, [*((f.name, f.type) for f in ITEM), ("whole", pa.bool_())], "key long, ctx long, a int, z int, e int, whole boolean")
+
+
+def _all_of(runs: DataFrame, length: int, passage: int) -> DataFrame:
+    """The byte ranges of runs that are repeated as a whole."""
+    both = F.array(F.struct(F.lit(False).alias("long"), (F.col("z") + passage).alias("b")), F.struct(F.lit(True).alias("long"), F.col("e").alias("b")))
+    return runs.select("_row", "a", F.explode(both).alias("x")).select("_row", "x.long", "a", "x.b").where(F.expr(f"not long or b - a >= {length}"))
+
+
+def ranges(docs: DataFrame, found: DataFrame, length: int, passage: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """_row, _ranges (long, a, b; not merged) of documents that are not copies as a whole; and the classes (c1, c2) of those that are."""
+    copied = found.where(F.col("n_bytes") >= length).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("_row").alias("_kept")).where("m > 1")
+    copied = scratch.put("copied", copied.select("c1", "c2", "_kept"))
+    whole = found.where(F.col("n_bytes") >= length).select("_row", "c1", "c2").join(copied, ["c1", "c2"]).select("_row", (F.col("_row") == F.col("_kept")).alias("kept"))
+    runs = found.select("_row", F.explode("runs").alias("o")).select("_row", "o.*")
+    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    occ = runs.join(shared, "key").join(whole, "_row", "left").where("kept is null or kept").withColumn("whole", F.col("kept").isNotNull()).drop("kept")
+    occ = scratch.put("runs0", occ)
+    out, level = [], 0
+    while True:
+        per = scratch.put(f"per{level}", occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("_row", "a", "z", "e", "whole"))))
+        out.append(_all_of(occ.join(per.where("c > 1").select("key", "ctx"), ["key", "ctx"]).where("not whole"), length, passage))
+        groups = per.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("e") - F.col("a")).alias("size")).where("d > 1")
+        wanted = scratch.put(f"wanted{level}", per.join(groups, "key").select("key", "_row", "a", "z", "e", "whole", (F.col("size") > HOT_BYTES).alias("hot")))
+        if _width(passage, gram, level) == 1:  # equal windows with different bytes behind them
+            out.append(wanted.where("not whole").select("_row", F.lit(False).alias("long"), "a", (F.col("a") + passage).alias("b")))
+            break
+        cool = wanted.where("not hot")
+        shards = max(1, (cool.agg(F.sum(F.col("e") - F.col("a"))).first()[0] or 0) // SHARD_BYTES)
+        shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+        near = _contexts(docs, cool).select(shard.alias("shard"), "_row", "a", "z", "bytes").groupBy("shard").applyInArrow(_shard(length, passage), FOUND)
+        out.append(near)
+        if wanted.where("hot").isEmpty():
+            break
+        level += 1
+        occ = scratch.put(f"runs{level}", _finer(docs, wanted.where("hot"), length, passage, gram, _width(passage, gram, level)))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return scratch.put("ranges", every.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("long", "a", "b"))).alias("_ranges"))), copied
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -196,19 +249,26 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.numbered(docs)
-    found = scratch.put("scanned", scanned(rows, id_col, text_col, length, gram))
-    cut = ranges(rows, found, text_col, length, scratch)
-    copied = scratch.spark.read.parquet(f"{scratch.base}/classes").where("m > 1").select("c1", "c2", F.lit(True).alias("copied"))
-    return rows, found, cut, copied
+def _covered(ranges) -> F.Column:
+    """Bytes that sorted ranges cover."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    more = lambda acc, x: F.struct((acc["n"] + F.greatest(x["b"] - F.greatest(x["a"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["b"]).alias("end"))
+    return F.aggregate(ranges, start, more, lambda acc: acc["n"]).cast("long")
+
 
+def _found(rows: DataFrame, scratch: Scratch, length: int, passage: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = scratch.put("scanned", scanned(rows, length, passage, gram))
+    cut, copied = ranges(rows, found, length, passage, gram, scratch)
+    return found.drop("runs"), cut, copied.select("c1", "c2", F.lit(True).alias("copied"))
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, found, cut, copied = _found(docs.select(id_col, text_col), id_col, text_col, length, gram)
-    texts = _asked(rows, text_col, cut).select("_row", "_text", "_ranges")
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes in strings of ``passage`` bytes that also start elsewhere)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    found, cut, copied = _found(rows, scratch, length, passage, gram)
+    is_long = F.filter("_ranges", lambda x: x["long"])
+    texts = _asked(rows, cut.select("_row", is_long.alias("_ranges")).where(F.size("_ranges") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,25 +282,30 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 digest.update(data[at : offs[r + 1]])
                 removed.append(sum(e - s for s, e in runs))
                 spans.append(len(runs))
-                sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], names=["_row", "removed", "spans", "kept"])
+                sha.append(digest.digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.binary())], names=["_row", "removed", "spans", "kept"])
 
-    part = map_batches(texts, run, "_row long, removed long, spans long, kept string")
-    whole = found.drop("owned").join(copied, ["c1", "c2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length))
+    part = map_batches(texts, run, "_row long, removed long, spans long, kept binary")
+    short = cut.select("_row", _covered(F.filter("_ranges", lambda x: ~x["long"])).alias("covered"))
+    whole = found.join(copied, ["c1", "c2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length))
     zero = F.lit(0).cast("long")
-    return whole.join(part, "_row", "left").select(
+    return whole.join(short, "_row", "left").join(part, "_row", "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("removed", zero)).alias("n_removed"),
         F.when(F.col("copied"), F.lit(1).cast("long")).otherwise(F.coalesce("spans", zero)).alias("n_spans"),
-        F.when(F.col("copied"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept_sha256"),
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("covered", zero)).alias("n_passage"),
     )
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with repeated bytes cut out of their texts; characters broken by a cut are dropped."""
-    rows, found, cut, copied = _found(docs, id_col, text_col, length, gram)
-    gone = found.join(copied, ["c1", "c2"]).where(F.col("n_bytes") >= length).select("_row", F.expr("array(struct(0 as a, cast(n_bytes as int) as b))").alias("_ranges"))
-    cut = cut.join(gone, "_row", "left_anti").unionByName(gone)
-    marked = rows.join(cut, "_row", "left").select(*docs.columns, "_ranges")
+    scratch, row, cuts = Scratch(docs.sparkSession), fresh("_row", docs.columns), fresh("_ranges", docs.columns)
+    kept = scratch.numbered(docs, row)
+    rows = kept.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found, cut, copied = _found(rows, scratch, length, length, gram)
+    gone = found.join(copied, ["c1", "c2"]).where(F.col("n_bytes") >= length).select("_row", F.expr("array(struct(true as long, 0 as a, cast(n_bytes as int) as b))").alias("_ranges"))
+    cut = cut.join(gone, "_row", "left_anti").unionByName(gone).select(F.col("_row").alias(row), F.filter("_ranges", lambda x: x["long"]).alias(cuts))
+    marked = kept.join(cut, row, "left").select(*own(docs), cuts)
     col = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
-"""Suffix arrays by induced sorting, and which suffixes share a long prefix with a neighbour.
+"""Suffix arrays by induced sorting, permuted common prefixes, and which suffixes share a long prefix.
 
 Induced sorting: suffixes are classified as larger (L) or smaller (S) than their successor; the leftmost S ones (LMS) of each run
 are sorted first, by naming the substrings between them and sorting the string of names recursively; then one pass over the buckets from
-the left places all L suffixes behind LMS ones, and one from the right all S suffixes. A pass handles a bucket at a time: what a
-bucket's suffixes induce is placed by a stable counting sort on the preceding characters, so the work is linear and runs in NumPy.
-A string of names over a large alphabet, where buckets are short, is sorted by doubling ranks.
+the left places all L suffixes behind LMS ones, and one from the right all S suffixes. Where buckets are large, a pass handles one at a time: what
+its suffixes induce is placed by a stable counting sort on the preceding characters, which NumPy does. Strings of names, whose
+buckets are short, take the same two passes suffix by suffix. Both are linear, at every level of the recursion.
+
+Common prefixes: a suffix's prefix shared with its predecessor in the array is at least that of the suffix one place to its left less one,
+and exactly that if the characters before both are equal. So only the others (the irreducible ones) are compared, all at once.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ import numpy as np
 
 from . import textvec as tv
 
-#: Alphabets up to this size are sorted bucket by bucket
-BUCKETS = 1024
+#: Suffixes a bucket from which on passes go bucket by bucket
+BUCKET = 256
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -38,12 +41,10 @@ def _spread(to: dict[int, list], t: np.ndarray, j: np.ndarray) -> None:
             to.setdefault(first, []).append(part)
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes, given the LMS ones in an order that is right within their buckets."""
+def _by_bucket(t: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: list[int]) -> np.ndarray:
     n, empty = len(t), np.zeros(0, np.int64)
     seeds: dict[int, list] = {}
     _spread(seeds, t, lms)
-    letters = np.unique(t).tolist()
     wait: dict[int, list] = {int(t[n - 1]): [np.array([n - 1])]}
     large: dict[int, np.ndarray] = {}
     for c in letters:
@@ -75,27 +76,46 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate(out)[::-1]
 
 
-def _double(t: np.ndarray, most: int) -> np.ndarray:
-    rank, k = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while k < most and rank.max(initial=0) + 1 < len(t):
-        key = rank * (len(t) + 1)
-        key[:-k or None] += (rank[k:] + 1) if k < len(t) else 0
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
-        rank = np.empty_like(new)
-        rank[order] = new
-        k *= 2
-    return order
+def _by_suffix(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    n = len(t)
+    ends = np.cumsum(np.bincount(t))
+    heads, tails = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
+    out = np.full(n, -1, np.int64)
+    by_char = np.argsort(t[lms], kind="stable")  # the seeds stand at their buckets' ends, in their order
+    c = t[lms][by_char]
+    out[ends[c] - np.searchsorted(c, c, side="right") + np.arange(len(c))] = lms[by_char]
+    sa, char, is_small = out.tolist(), t.tolist(), small.tolist()
+    sa_at = heads[char[n - 1]]
+    sa[sa_at] = n - 1
+    heads[char[n - 1]] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = char[j]
+            sa[heads[c]] = j
+            heads[c] += 1
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_small[j]:
+            c = char[j]
+            tails[c] -= 1
+            sa[tails[c]] = j
+    return np.array(sa, np.int64)
+
+
+def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes, given the LMS ones in an order that is right within their buckets."""
+    letters = np.unique(t)
+    if len(t) >= BUCKET * len(letters):
+        return _by_bucket(t, small, lms, letters.tolist())
+    return _by_suffix(t, small, lms)
 
 
-def suffix_array(t: np.ndarray, most: int) -> np.ndarray:
-    """The suffixes of t (non-negative numbers) in the order of their first ``most`` characters at least."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffixes of t (non-negative numbers) in their order."""
     n = len(t)
     if n < 2:
         return np.arange(n)
-    if int(t.max()) >= BUCKETS:
-        return _double(t, most)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(lms):
@@ -116,30 +136,44 @@ def suffix_array(t: np.ndarray, most: int) -> np.ndarray:
     name = np.zeros(n, np.int64)
     name[by_piece] = np.concatenate([[0], np.cumsum(piece[by_piece[1:]] != piece[by_piece[:-1]])])
     names = name[lms]
-    if names.max() + 1 < len(lms):
-        lms = lms[suffix_array(names, most)]
-    else:
-        lms = by_piece
+    lms = lms[suffix_array(names)] if names.max() + 1 < len(lms) else by_piece
     return _induce(t, small, lms)
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the starts (a flag for each place of data) have an equal string of ``length`` at another start.
-
-    The text is data with a 0 between contexts; a start's string must not reach beyond the text. Neighbours among the starts, in suffix order, are
-    compared eight bytes at a time up to ``length``: the permuted common prefixes, as far as they matter.
-    """
-    order = suffix_array(data, length)
-    order = order[starts[order]]
-    flag = np.zeros(len(data), bool)
-    if len(order) < 2:
-        return flag
-    padded = np.concatenate([data.astype(np.uint8), np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(np.uint64).ravel()
-    a, b = order[:-1], order[1:]
-    offsets = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])
-    for o in offsets:
-        same = eight[a + o] == eight[b + o]
-        a, b = a[same], b[same]
-    flag[a] = flag[b] = True
+def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each suffix of the array, the length of the prefix that it shares with the one before it (0 for the first)."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    irreducible = np.ones(n, bool)
+    irreducible[1:] = (before[1:] < 1) | (data[:-1] != data[before[1:] - 1])
+    found = np.zeros(n, np.int64)
+    a = np.flatnonzero(irreducible & (before >= 0))
+    b, at = before[a], a
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data.astype(np.uint8), np.zeros(8, np.uint8)]), 8)[: n + 1].copy().view(np.uint64).ravel()
+    while len(a):
+        differs = eight[a] ^ eight[b]
+        room = n - np.maximum(a, b)  # bytes left; behind them are zeros
+        same = np.full(len(a), 8, np.int64)
+        some = np.flatnonzero(differs)
+        low = differs[some] & (~differs[some] + np.uint64(1))
+        same[some] = np.log2(low.astype(np.float64)).astype(np.int64) // 8  # bytes before the first that differs (the lowest)
+        same = np.minimum(same, room)
+        found[at] += same
+        on = (same == 8) & (room > 8)
+        a, b, at = a[on] + 8, b[on] + 8, at[on]
+    last = np.maximum.accumulate(np.where(irreducible, np.arange(n), 0))
+    permuted = found[last] - (np.arange(n) - last)
+    return permuted[order]
+
+
+def repeated(order: np.ndarray, prefixes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the starts (a flag for each place) have an equal string of ``length`` at another start."""
+    group = np.cumsum(prefixes < length)  # neighbours in the array that share the string
+    there = starts[order]
+    flag = np.zeros(len(order), bool)
+    if len(order):
+        flag[order] = there & (np.bincount(group, there)[group] > 1)
     return flag

@@ -118,13 +118,18 @@ def pii(text):
     return {f"n_{k}": sum(s[0] == k for s in out) for k in kinds} | {"base_sha256": sha(out)}, [f"{k}:{a}:{b}" for k, a, b in out]
 
 
-def repeats(docs, length=400):
-    raw = [(t or "").encode() for _, t in docs]
+def _covered(raw, length):
     count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
-    for (d, _), b in zip(docs, raw, strict=True):
+    for b in raw:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        yield gone
+
+
+def repeats(docs, length=400, passage=256):
+    raw = [(t or "").encode() for _, t in docs]
+    for (d, _), b, gone, short in zip(docs, raw, _covered(raw, length), _covered(raw, passage), strict=True):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        yield {"doc_id": d, "n_bytes": len(b), "n_removed": sum(gone), "n_spans": len(re.findall(b"\x01+", bytes(gone))), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        yield {"doc_id": d, "n_bytes": len(b), "n_removed": sum(gone), "n_spans": len(re.findall(b"\x01+", bytes(gone))), "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passage": sum(short)}

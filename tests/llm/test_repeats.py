@@ -19,16 +19,19 @@ def corpus(seed=2):
     return docs
 
 
-@pytest.mark.parametrize("hot", [4_000_000, 300])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "segment"), [(1_000_000, 1 << 19), (300, 37)])
+def test_against_brute_force(spark, monkeypatch, hot, segment):
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
     monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
     rows = corpus()
-    docs = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, bytes string, h int")
-    got = sorted((r.asDict() for r in repeats.report(docs, length=50, gram=8).collect()), key=str)
-    assert got == sorted(brute.repeats(rows, 50), key=str)
+    docs = spark.createDataFrame([(d, t, "x", i, 7) for i, (d, t) in enumerate(rows)], "doc_id long, text string, bytes string, _row int, _ranges int")
+    got = sorted((r.asDict() for r in repeats.report(docs, length=50, passage=32, gram=8).collect()), key=str)
+    assert got == sorted(brute.repeats(rows, 50, 32), key=str)
     if hot > 300:
-        kept = {r.h: r.text for r in repeats.cleaned(docs, length=50, gram=8).collect()}
+        out = repeats.cleaned(docs, length=50, gram=8)
+        assert out.columns == docs.columns
+        kept = {r._row: r.text for r in out.collect() if r._ranges == 7 and r.bytes == "x"}
         want = list(brute.repeats(rows, 50))
         assert all(len((kept[i] or "").encode()) <= w["n_bytes"] - w["n_removed"] <= len((kept[i] or "").encode()) + 2 * w["n_spans"] for i, w in enumerate(want))
 

@@ -6,19 +6,34 @@ import pytest
 from tallyweave.llm import suffixes
 
 
-@pytest.mark.parametrize("buckets", [1024, 3])
-def test_suffix_array(monkeypatch, buckets):
-    r = random.Random(buckets)
-    monkeypatch.setattr(suffixes, "BUCKETS", buckets)
-    for trial in range(300):
+def _strings(r):
+    for _ in range(300):
         n, k = r.randrange(1, 120), r.choice([1, 2, 3, 26])
         t = [r.randrange(k) for _ in range(n)]
-        if r.random() < 0.4:
-            t = (t[: max(1, n // 5)] * 6)[:n]
-        got = suffixes.suffix_array(np.array(t, np.int64), 1 << 20).tolist()
+        yield (t[: max(1, n // 5)] * 6)[:n] if r.random() < 0.4 else t
+
+
+@pytest.mark.parametrize("bucket", [1, 8, 10_000])
+def test_suffix_array(monkeypatch, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    for t in _strings(random.Random(bucket)):
+        got = suffixes.suffix_array(np.array(t, np.int64)).tolist()
         assert got == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_common_prefixes():
+    for t in _strings(random.Random(3)):
+        data = np.array(t, np.uint8)
+        order = suffixes.suffix_array(data)
+        want = [0]
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            k = 0
+            while max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+                k += 1
+            want.append(k)
+        assert suffixes.common_prefixes(data, order).tolist() == want
+
+
 def test_repeated():
     r = random.Random(4)
     for length in (8, 13, 20):
@@ -29,7 +44,9 @@ def test_repeated():
             for p in parts:
                 data += [*p, 0]
                 flags += [i + length <= len(p) for i in range(len(p) + 1)]
-            got = suffixes.repeated(np.array(data, np.uint8), np.array(flags), length)
+            data = np.array(data, np.uint8)
+            order = suffixes.suffix_array(data)
+            got = suffixes.repeated(order, suffixes.common_prefixes(data, order), np.array(flags), length)
             win = {i: tuple(data[i : i + length]) for i, f in enumerate(flags) if f}
             count = {}
             for w in win.values():
