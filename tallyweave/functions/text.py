@@ -126,10 +126,8 @@ NAME, NAME_JOIN, NAME_SKEL, ADDR, ADDR_SKEL, TRIG = range(6)
 GROUP_OF = (0, 1, 2, 3, 3, 2)
 
 
-def record_tokens(name: Column, addr: Column) -> Column:
-    """array<struct<ch, tag, tok>>: the distinct blocking tokens of a record."""
-    nw, aw = name_words(name), addr_words(addr)
-    core = core_words(nw)
+def record_tokens(nw: Column, aw: Column, core: Column) -> Column:
+    """array<struct<ch, tag, tok>>: the distinct blocking tokens of a record, given as columns its name words, address words and core words."""
     make = lambda ch, tag, xs: F.transform(xs, lambda t: F.struct(F.lit(ch).alias("ch"), F.lit(tag).alias("tag"), t.alias("tok")))
     known = lambda xs: F.filter(F.transform(xs, skeleton), lambda t: t.isNotNull())
     long = F.filter(nw, lambda w: w.rlike(r"^[\x00-\x7F]{6,}$"))

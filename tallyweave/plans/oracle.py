@@ -152,6 +152,7 @@ ORACLES = {
     "q_scored_roundtrip": f"WITH {CANDS} SELECT s1_id, cand_id, rank::INTEGER AS rank FROM c",
     "q_labels": f"WITH {CT} SELECT s1_id, cand_id, hit::INTEGER AS y FROM ch",
     "q_misses": f"WITH {CT} SELECT s1_id, cand_id AS missed_id, n AS n_true, (SELECT count(*) FROM c WHERE c.s1_id = truth.s1_id) AS n_cands FROM truth JOIN gt USING (s1_id) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.s1_id = truth.s1_id AND c.cand_id = truth.cand_id)",
+    "q_misses_short": f"WITH {CT}, c2 AS (SELECT * FROM c WHERE rank < 2) SELECT s1_id, cand_id AS missed_id, n AS n_true, (SELECT count(*) FROM c2 WHERE c2.s1_id = truth.s1_id) AS n_cands FROM truth JOIN gt USING (s1_id) WHERE NOT EXISTS (SELECT 1 FROM c2 WHERE c2.s1_id = truth.s1_id AND c2.cand_id = truth.cand_id)",
     "q_summary": f"WITH {CT} SELECT count(*) AS ids, {rounded('avg((n = 0)::INTEGER)')} AS singleton_share, sum(n)::BIGINT AS pairs FROM gt",
     "q_context": f"WITH {CANDS} SELECT s1_id, cand_id, count(*) OVER r AS n_cands, {rounded('max(total) OVER r')} AS best, count(*) FILTER (total >= 2.0) OVER r AS row_n_high, count(*) FILTER (total >= 1.5) OVER r AS row_n_med, count(*) OVER d AS claims, {rounded('sum(total) OVER d')} AS cand_sum, {rounded('m')} AS cand_best, {rounded('coalesce(max(CASE WHEN total < m THEN total END) OVER d, 0)')} AS cand_next FROM (SELECT *, max(total) OVER (PARTITION BY cand_id) AS m FROM c) WINDOW r AS (PARTITION BY s1_id), d AS (PARTITION BY cand_id)",
     "q_feat_overlap": f"WITH {ATTR} SELECT s1_id, cand_id, {_overlap('n', 'nta', 'ntb')}, {_overlap('a', 'ata', 'atb')} FROM pa",

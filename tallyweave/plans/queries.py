@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +13,10 @@ from ..functions.similarity import cosine
 from ..operators import blocking, features, learning, scoring, validate
 from ..params import NAIVE_TAUS, BlockParams, MatchParams
 from ..sources import tsv
+from ..store import written
 from . import surrogate
 from .oracle import ORACLES
+from .surrogate import Run
 
 P = BlockParams()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,14 +34,6 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _cands(spark: SparkSession, sf: str) -> DataFrame:
-    return blocking.block(*surrogate.sides(spark, sf), P)
-
-
-def _gts(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.gt_counts(surrogate.sides(spark, sf)[0].select(F.col("id").alias("s1_id")), surrogate.truth(spark, sf))
-
-
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     return _table("part")(spark, sf).select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
 
@@ -108,17 +101,17 @@ def q_doc_norm(spark, sf):
 
 
 def q_block_scores(spark, sf):
-    return _round(blocking.scored_pairs(*surrogate.sides(spark, sf), P), *blocking.GROUPS)
+    return _round(Run(spark, sf, P).scores, *blocking.GROUPS)
 
 
 def q_rarest_fallback(spark, sf):
-    return _round(blocking.scored_pairs(*surrogate.sides(spark, sf), BlockParams(max_df=3, max_df_trig=2)), *blocking.GROUPS)
+    return _round(Run(spark, sf, BlockParams(max_df=3, max_df_trig=2)).scores, *blocking.GROUPS)
 
 
 def _topk(i: int) -> Query:
     def run(spark, sf):
-        a, b = surrogate.sides(spark, sf)
-        s = blocking.scored_pairs(a, b, P).join(blocking.has_addr(b), "cand_id")
+        x = Run(spark, sf, P)
+        s = x.scores.join(blocking.has_addr(x.b), "cand_id")
         key, k = blocking.rankings(s, P)[i]
         rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.col("key").desc(), "cand_id"))
         return s.withColumn("key", key).withColumn("r", rank).where((F.col("r") <= k) & (F.col("key") > 0)).select("s1_id", "cand_id", "r", r4("key").alias("score"))
@@ -127,61 +120,71 @@ def _topk(i: int) -> Query:
 
 
 def q_candidates(spark, sf):
-    return _round(_cands(spark, sf), *blocking.GROUPS, "total")
+    return _round(Run(spark, sf, P).cands, *blocking.GROUPS, "total")
 
 
 def q_candidate_lists(spark, sf):
-    return tsv.candidate_lists(surrogate.sides(spark, sf)[0], _cands(spark, sf))
+    x = Run(spark, sf, P)
+    return tsv.candidate_lists(x.a, x.cands)
 
 
 def q_scored_roundtrip(spark, sf):
-    """Scored lists as text, and parsed again."""
-    return tsv.parse_scored(tsv.candidate_lists(surrogate.sides(spark, sf)[0], _cands(spark, sf), True)).select("s1_id", "cand_id", "rank")
+    """Scored lists as text, and parsed again with their numbers of four decimals."""
+    x = Run(spark, sf, P)
+    return tsv.parse_scored(tsv.candidate_lists(x.a, x.cands, True)).select("s1_id", "cand_id", "rank")
 
 
 def q_labels(spark, sf):
-    return features.labels(_cands(spark, sf).select("s1_id", "cand_id"), surrogate.truth(spark, sf))
+    x = Run(spark, sf, P)
+    return features.labels(x.cands.select("s1_id", "cand_id"), x.truth)
 
 
 def q_misses(spark, sf):
-    return scoring.misses(_cands(spark, sf), surrogate.truth(spark, sf), _gts(spark, sf))
+    x = Run(spark, sf, P)
+    return scoring.misses(x.cands, x.truth, x.gts)
+
+
+def q_misses_short(spark, sf):
+    """Misses of lists that keep the best two by total only."""
+    x = Run(spark, sf, P)
+    return scoring.misses(x.cands.where("rank < 2"), x.truth, x.gts, limit=1_000_000)
 
 
 def q_summary(spark, sf):
-    return _round(scoring.summary(_gts(spark, sf)), "singleton_share")
+    return _round(scoring.summary(Run(spark, sf, P).gts), "singleton_share")
 
 
 def q_context(spark, sf):
-    return _round(features.context(_cands(spark, sf)), "best", "cand_sum", "cand_best", "cand_next").select("s1_id", "cand_id", "n_cands", "best", "row_n_high", "row_n_med", "claims", "cand_sum", "cand_best", "cand_next")
+    return _round(features.context(Run(spark, sf, P).cands), "best", "cand_sum", "cand_best", "cand_next").select("s1_id", "cand_id", "n_cands", "best", "row_n_high", "row_n_med", "claims", "cand_sum", "cand_best", "cand_next")
 
 
-def _features(spark, sf, fuzzy=False):
-    a, b = surrogate.sides(spark, sf)
-    return features.pair_features(_cands(spark, sf), features.attributes(a), features.attributes(b), MatchParams(), fuzzy)
+def _features(x: Run, fuzzy=False):
+    return features.pair_features(x.cands, features.attributes(x.a), features.attributes(x.b), MatchParams(), fuzzy)
 
 
 def _some(*columns: str) -> Query:
-    return lambda spark, sf: _round(_features(spark, sf).select("s1_id", "cand_id", *columns), *columns)
+    return lambda spark, sf: _round(_features(Run(spark, sf, P)).select("s1_id", "cand_id", *columns), *columns)
 
 
 def q_feat_lev(spark, sf):
-    a, b = surrogate.sides(spark, sf)
+    x = Run(spark, sf, P)
     plain = lambda df: features.attributes(df.withColumns({c: F.replace(F.col(c), F.lit("ß"), F.lit("ss")) for c in ("name", "addr")}))
-    x = features.pair_features(_cands(spark, sf), plain(a), plain(b), MatchParams(), False)
-    return x.select("s1_id", "cand_id", r4("f_lev_name").alias("lev_name"), r4("f_lev_addr").alias("lev_addr"))
+    pairs = features.pair_features(x.cands, plain(x.a), plain(x.b), MatchParams(), False)
+    return pairs.select("s1_id", "cand_id", r4("f_lev_name").alias("lev_name"), r4("f_lev_addr").alias("lev_addr"))
 
 
 def q_features(spark, sf):
-    return _round(_features(spark, sf, True), *features.FEATURES)
+    return _round(_features(Run(spark, sf, P), True), *features.FEATURES)
 
 
 def q_recall_at_k(spark, sf):
-    s1 = surrogate.sides(spark, sf)[0].select(F.col("id").alias("s1_id"), "country")
-    return _round(scoring.recall_at_k(_cands(spark, sf), surrogate.truth(spark, sf), s1), "pair_recall", "full_recall", "oracle_f05", "avg_cands")
+    x = Run(spark, sf, P)
+    return _round(scoring.recall_at_k(x.cands, x.truth, x.ids), "pair_recall", "full_recall", "oracle_f05", "avg_cands")
 
 
 def _swept(spark, sf):
-    swept = scoring.sweep(_cands(spark, sf), surrogate.truth(spark, sf), _gts(spark, sf), "total", NAIVE_TAUS)
+    x = Run(spark, sf, P)
+    swept = scoring.sweep(x.cands, x.truth, x.gts, "total", NAIVE_TAUS)
     return swept.withColumn("f05", F.floor(F.col("f05") * 1e8 + 0.5) / 1e8)  # so that equal thresholds tie
 
 
@@ -194,21 +197,23 @@ def q_best_tau(spark, sf):
 
 
 def q_bands(spark, sf):
-    pairs = features.labels(_cands(spark, sf), surrogate.truth(spark, sf)).withColumn("prob", F.col("total") / 4)
-    return _round(scoring.bands(pairs, 0.5), "mean_prob")
+    x = Run(spark, sf, P)
+    return _round(scoring.bands(features.labels(x.cands, x.truth).withColumn("prob", F.col("total") / 4), 0.5), "mean_prob")
 
 
 def q_cutoff_sweep(spark, sf):
-    return _round(scoring.cutoff_sweep(_cands(spark, sf), surrogate.truth(spark, sf), _gts(spark, sf), "total", 1.6), "kept_share", "f05", "delta")
+    x = Run(spark, sf, P)
+    return _round(scoring.cutoff_sweep(x.cands, x.truth, x.gts, "total", 1.6), "kept_share", "f05", "delta")
 
 
 def q_prune(spark, sf):
-    return tsv.candidate_lists(surrogate.sides(spark, sf)[0], scoring.pruned(_cands(spark, sf), 0.8))
+    x = Run(spark, sf, P)
+    return tsv.candidate_lists(x.a, scoring.pruned(x.cands, 0.8))
 
 
 def q_counts(spark, sf):
-    ids = surrogate.sides(spark, sf)[0].select(F.col("id").alias("s1_id"))
-    return scoring.counts(ids, _cands(spark, sf).where(F.col("total") >= 1.6))
+    x = Run(spark, sf, P)
+    return scoring.counts(x.ids.select("s1_id"), x.cands.where(F.col("total") >= 1.6))
 
 
 def q_pair_cosine(spark, sf):
@@ -223,25 +228,19 @@ def q_char_tfidf(spark, sf):
 
 def q_validate(spark, sf):
     """Rules on candidate lists into which faults were put by id."""
-    a, _ = surrogate.sides(spark, sf)
-    lists = tsv.candidate_lists(a, _cands(spark, sf)).where("items <> ''").withColumn("bad", F.substring("s1_id", 4, 20).cast("long") % 20)
+    x = Run(spark, sf, P)
+    lists = tsv.candidate_lists(x.a, x.cands).where("items <> ''").withColumn("bad", F.substring("s1_id", 4, 20).cast("long") % 20)
     items = F.when(F.col("bad") == 1, F.concat_ws(",", "items", F.split("items", ",")[0])).when(F.col("bad") == 2, F.lit("S1-1,X9-2")).otherwise(F.col("items"))
     lines = lists.where("bad <> 3").select(F.concat_ws("\t", "s1_id", items).alias("value"))
-    return validate.list_rows_report(lines, a.select("id")).withColumn("examples", F.array_join("examples", ","))
+    return validate.list_rows_report(lines, x.a.select("id")).withColumn("examples", F.array_join("examples", ","))
 
 
 def q_gbt_predict(spark, sf):
     """Trained on four folds, applied to all pairs."""
-    truth, gts = surrogate.truth(spark, sf), _gts(spark, sf)
-    x = features.labels(_features(spark, sf), truth)
-    x.write.mode("overwrite").parquet(at := f"{_shared(spark)}/matcher-features")
-    x = spark.read.parquet(at)
-    m = learning.train(x, truth, gts, MatchParams(rounds=10, depth=3, min_leaf=5))
-    return learning.matches(m.predict(x), m.tau).select("s1_id", "cand_id", r4("prob").alias("prob"))
-
-
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-")).rstrip("/")
+    x = Run(spark, sf, P)
+    pairs = written(features.labels(_features(x), x.truth), "features")
+    m = learning.train(pairs, x.truth, x.gts, MatchParams())
+    return learning.matches(m.predict(pairs), m.tau).select("s1_id", "cand_id", r4("prob").alias("prob"))
 
 
 QUERIES: dict[str, Query] = {name: f for name, f in globals().items() if name.startswith("q_")} | {
