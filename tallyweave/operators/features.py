@@ -13,11 +13,13 @@ from ..functions import text as X
 from ..functions.similarity import cosine, lev_sim, token_set_sim
 from ..params import MatchParams
 
-SCORES = ["sc_total", "sc_name", "sc_join", "sc_fuzzy", "sc_addr", "agree", "rank", "n_cands", "rank_frac", "sc_rel_best", "sc_margin_best", "row_n_high", "row_n_med"]
-OVERLAPS = ["ninter", "njacc", "ncont_a", "ncont_b", "ainter", "ajacc", "acont_a", "acont_b", "num_match", "num_first", "pin_eq", "pin_both", "name_eq", "addr_eq", "nlen_ratio", "alen_ratio"]
-COUNTS = ["ntok_a", "ntok_b", "ntok_diff", "atok_a", "atok_b", "has_addr_a", "has_addr_b", "cand_is_s3", "cand_freq", "cand_best", "cand_mean", "cand_comp"]
-FUZZY = ["f_lev_name", "f_lev_addr", "f_tokset_name"]
-FEATURES = [*SCORES, *OVERLAPS, *COUNTS, *FUZZY]
+# The columns of the feature matrix, in its order.
+FEATURES = [
+    "sc_total", "sc_name", "sc_join", "sc_fuzzy", "sc_addr", "agree", "rank", "n_cands", "rank_frac", "sc_rel_best", "sc_margin_best",
+    "row_n_high", "row_n_med", "ninter", "njacc", "ncont_a", "ncont_b", "ainter", "ajacc", "acont_a", "acont_b", "num_match",
+    "num_first", "pin_eq", "pin_both", "name_eq", "addr_eq", "nlen_ratio", "alen_ratio", "ntok_a", "ntok_b", "ntok_diff", "atok_a",
+    "atok_b", "has_addr_a", "has_addr_b", "cand_is_s3", "cand_freq", "cand_best", "cand_mean", "cand_comp", "f_lev_name", "f_lev_addr", "f_tokset_name",
+]
 VECTOR_FEATURES = ["e_cos", "c_tfidf"]
 
 
