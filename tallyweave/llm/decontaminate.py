@@ -20,55 +20,94 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from . import textvec as tv
-from .scratch import Scratch, map_batches
+from .scratch import Scratch, fresh, map_batches
 
 #: Maps, each with a process and a table of its own, that run in one stage
-CHAINED = 4
+CHAINED = 2
 
 
 class Table:
-    """Windows of one block of items, by their length."""
+    """Windows of one block of items in flat arrays: about 30 bytes a window and 20 a word, beside the text.
+
+    ``data`` holds the items' words, lower-cased, each followed by a space, so that a window's text is one range of bytes. By window length there are
+    distinct windows in hash order (hash, first word), and the items of each: those between two entries of ``at`` in ``item``."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        found: dict[int, dict[int, list[tuple[bytes, int]]]] = {}
         self.ids: list[str] = []
+        data, size, hashes, firsts, owners = [], [], {}, {}, {}
+        words = 0
         for w in tv.words(pa.array([t for _, t in items], pa.string()), tv.ALNUM):
-            for r in range(w.last - w.first):
-                a, b = int(w.at[r]), int(w.at[r + 1])
-                if a == b:
-                    continue
-                k = len(self.ids)
-                self.ids.append(items[w.first + r][0])
-                size = min(n, b - a)
-                hashes = tv.mix(tv.combine(w.hash, np.arange(a, b - size + 1), size))
-                for i, h in zip(range(a, b - size + 1), hashes.tolist(), strict=True):
-                    found.setdefault(size, {}).setdefault(h, []).append((w.text(i, size), k))
-        self.by_size = {s: (np.array(sorted(f), np.uint64), f) for s, f in found.items()}
+            count = np.diff(w.at)
+            some = np.flatnonzero(count)
+            number = np.zeros(len(count), np.int64)
+            number[some] = len(self.ids) + np.arange(len(some))
+            self.ids += [items[w.first + r][0] for r in some]
+            for length in np.unique(np.minimum(count[some], n)).tolist():
+                i, h = tv.windows(w, length)
+                if length < n:  # only items of that many words
+                    i, h = (x[count[w.row[i]] == length] for x in (i, h))
+                for to, x in ((hashes, h), (firsts, i + words), (owners, number[w.row[i]])):
+                    to.setdefault(length, []).append(x)
+            data += [w.text(0, len(w.hash))] if len(w.hash) else []
+            size.append(w.end - w.start)
+            words += len(w.hash)
+        self.data = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+        size = np.concatenate([np.zeros(0, np.int64), *size])
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        self.by_size = {length: self._windows(length, *(np.concatenate(x[length]) for x in (hashes, firsts, owners))) for length in hashes}
+
+    def text(self, first: int, n: int) -> bytes:
+        return self.data[self.start[first] : self.end[first + n - 1]].tobytes()
+
+    def _windows(self, n: int, h: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((owner, first, h))
+        h, first, owner = h[order], first[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        for k in np.flatnonzero(~new).tolist():  # equal hashes: of equal words, but for a collision
+            new[k] = self.text(first[k], n) != self.text(first[k - 1], n)
+        at = np.flatnonzero(new)
+        return h[at], first[at], np.append(at, len(h)), owner
+
+    def found(self, n: int, h: np.ndarray) -> np.ndarray:
+        """Which hashes are those of a window."""
+        known = self.by_size[n][0]
+        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+    def items(self, n: int, h: int, text: bytes) -> np.ndarray:
+        """Numbers of the items that hold the window; none if its words differ."""
+        known, first, at, owner = self.by_size[n]
+        k = int(np.searchsorted(known, h))
+        while k < len(known) and known[k] == h:
+            if self.text(first[k], n) == text:
+                return owner[at[k] : at[k + 1]]
+            k += 1
+        return owner[:0]
 
 
 def scan(w: tv.Words, table: Table) -> tuple[np.ndarray, list[set[str]]]:
     """Which words are hit, and the ids of the items that each row holds a window of."""
     cover = np.zeros(len(w.hash) + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(w.last - w.first)]
-    for size, (known, by_hash) in table.by_size.items():
+    for size in table.by_size:
         i, h = tv.windows(w, size)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = np.flatnonzero(known[at] == h)
-        for s, x in zip(i[hit].tolist(), h[hit].tolist(), strict=True):
-            text = w.text(s, size)
-            true = [k for t, k in by_hash[x] if t == text]
-            if true:
+        hit = np.flatnonzero(table.found(size, h))
+        for s, x in zip(i[hit].tolist(), h[hit], strict=True):
+            true = table.items(size, x, w.text(s, size))
+            if len(true):
                 cover[s] += 1
                 cover[s + size] -= 1
-                items[w.row[s]].update(table.ids[k] for k in true)
+                items[w.row[s]].update(table.ids[k] for k in true.tolist())
     return np.cumsum(cover[:-1]) > 0, items
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
     """How many blocks of about max_windows windows the items make, and a function that reads one; the driver holds one at a time."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // (2 * max_windows)))  # a window takes two bytes of text at least
     return count, lambda k: [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()]
@@ -80,9 +119,9 @@ Found = tuple[np.ndarray, set[str]]
 
 def _scan_all(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, max_windows: int, item_cols: tuple[str, str], finish: Callable, schema) -> DataFrame:
     """finish(batch, runs of words with what was found in each row) of all batches. Each block of items is a map; all but the last add _hits and _items."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, names = Scratch(docs.sparkSession), [fresh("_hits", docs.columns), fresh("_items", docs.columns)]
     sc = docs.sparkSession.sparkContext
-    state = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_hits binary, _items array<string>"])
+    state = StructType([*docs.schema, StructField(names[0], BinaryType()), StructField(names[1], ArrayType(StringType()))])
     col = docs.columns.index(text_col)
     count, block = _blocks(benchmark, *item_cols, max_windows)
     for k in range(count):
@@ -108,7 +147,7 @@ def _scan_all(docs: DataFrame, text_col: str, benchmark: DataFrame, n: int, max_
                 else:
                     bits = [np.packbits(hit).tobytes() for _, found in out for hit, _ in found]
                     ids = [sorted(x) for _, found in out for _, x in found]
-                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=[*rest.schema.names, "_hits", "_items"])
+                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=[*rest.schema.names, *names])
 
         docs = map_batches(docs, run, schema if k == count - 1 else state)
     return docs
@@ -121,7 +160,7 @@ def _is_dirty(hit: np.ndarray, percent: int) -> bool:
     return bool(hit.any()) and 100 * int(hit.sum()) >= percent * len(hit)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_windows: int = 2_000_000) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_windows: int = 500_000) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 100 * n_hit >= percent * n_words)."""
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
@@ -142,7 +181,7 @@ def _without(w: tv.Words, r: int, hit: np.ndarray) -> str:
     return b"".join([*parts, w.data[at : w.offsets[r + 1]].tobytes()]).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", spans: bool = False, max_windows: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", spans: bool = False, max_windows: int = 500_000) -> DataFrame:
     """docs without its contaminated rows; with ``spans``, all rows, and the hit words of contaminated ones cut out of the text."""
     col = docs.columns.index(text_col)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .scratch import Scratch, map_batches
+from .scratch import Scratch, fresh, map_batches, own
 
 SKETCH, NEED = 64, 17
 LEAF = 2_000_000
@@ -67,9 +67,9 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def points(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_row, _id, n, class (c1, c2) and sketch of each document."""
-    chosen = docs.select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def points(docs: DataFrame, n: int) -> DataFrame:
+    """_row, _id, n, class (c1, c2) and sketch of each document (_row, _id, _text)."""
+    chosen = docs.select("_row", "_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,10 +170,10 @@ def _leaf(percent: int):
     return run
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, column: str, text_col: str, n: int, sent: bool) -> DataFrame:
+def _with_sets(docs: DataFrame, wanted: DataFrame, column: str, n: int, sent: bool) -> DataFrame:
     """node, n, set, p: the sets of the wanted points, once for each region in the given column."""
     wanted = wanted.where(F.size(column) > 0).select(F.col("node").alias("_row"), F.col(column).alias("_p"))
-    rows = docs.select("_row", F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select("_row", "_text")
     found = rows.join(F.broadcast(wanted) if sent else wanted, "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +248,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     if percent < 75:
         raise ValueError("the sketch's bounds hold for 75 percent and more")
     scratch = Scratch(docs.sparkSession)
-    return _join(scratch.numbered(docs.select(id_col, text_col)), scratch, id_col, text_col, n, percent)
+    rows = scratch.numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    return _join(rows, scratch, n, percent).withColumnRenamed("_id", id_col)
 
 
-def _join(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    all_points = scratch.put("points", points(docs, id_col, text_col, n))
+def _join(docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    all_points = scratch.put("points", points(docs, n))
     classes = all_points.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("_row").alias("node"), F.min("_id").alias("least"))
     classes = scratch.put("classes", classes)
     # the sketch is read from the one row that stands for its class
     stand = all_points.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "n", "sketch")
     wanted = candidates(stand, percent, scratch)
     sent = wanted.count() <= SENT
-    links = _with_sets(docs, wanted, "leaves", text_col, n, sent).select("p", "node", "set").groupBy("p").applyInArrow(_leaf(percent), "u long, v long")
+    links = _with_sets(docs, wanted, "leaves", n, sent).select("p", "node", "set").groupBy("p").applyInArrow(_leaf(percent), "u long, v long")
     links = scratch.put("links", links)
     if not wanted.where(F.size("large") > 0).isEmpty():
-        links = links.unionByName(_rounds(_with_sets(docs, wanted, "large", text_col, n, sent), percent, scratch))
+        links = links.unionByName(_rounds(_with_sets(docs, wanted, "large", n, sent), percent, scratch))
     found = components(links, scratch)
     least = found.join(classes, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = found.join(least, "component").select("node", "component", "component_id")
@@ -271,14 +272,16 @@ def _join(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int,
     out = all_points.drop("sketch").join(by_class, ["c1", "c2", "n"], "left")
     some = F.col("n") > 0
     return out.select(
-        "_row", F.coalesce("_component", "_row").alias("_component"), F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("_id")).alias("component_id")
+        "_row", F.coalesce("_component", "_row").alias("_component"), "_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("_id")).alias("component_id")
     )
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component: the one with the least id (nulls last), of equal ids the first; each row without words is its own component."""
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.numbered(docs)
-    found = _join(rows, scratch, id_col, text_col, n, percent).withColumnRenamed(id_col, "_id")
-    keep = found.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row")).alias("x")).select("x._row")
-    return rows.join(keep, "_row", "left_semi").select(docs.columns)
+    """docs with one row of each component: the one with the least id (nulls last), of equal ids the first; each row without words is its own component.
+
+    All columns stay, whatever their names."""
+    scratch, row = Scratch(docs.sparkSession), fresh("_row", docs.columns)
+    rows = scratch.numbered(docs, row)
+    found = _join(rows.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), scratch, n, percent)
+    keep = found.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row")).alias("x")).select(F.col("x._row").alias(row))
+    return rows.join(keep, row, "left_semi").select(*own(docs))

@@ -3,7 +3,7 @@
 All rolling hashes of K words of every text are looked up among those of the templates, in the scan itself (the templates are fixed
 text in this module, so their table has a bound), each hit's words are compared, and hits are joined in Spark to the template positions. A hit
 votes for the diagonal template position - word position of its template; votes are summed by (document, template, diagonal).
-Diagonals at most GAP apart whose words lie near each other are merged into one span, which is how insertions and
+Diagonals at most GAP apart (more for long templates) whose words lie near each other are merged into one span, which is how insertions and
 deletions inside a notice are bridged. A span is verified by the share of its template's windows that it covers.
 
 Base labels come from fixed phrases whose words stand consecutively, whatever the templates say.
@@ -25,6 +25,8 @@ from . import textvec as tv
 from .scratch import Scratch, map_batches
 
 K, GAP, NEAR = 3, 3, 40
+#: Longer templates allow for longer insertions: a diagonal apart for each so many windows
+GAP_SHARE = 2
 #: Share of a template's windows that a span must hold
 COVER = 0.6
 #: Score of a text with a base phrase but no verified template
@@ -126,7 +128,8 @@ def spans(found: DataFrame) -> DataFrame:
     votes = votes.withColumn("part", F.sum(F.when(F.col("pos") - F.lag("pos").over(line) > NEAR, 1).otherwise(0)).over(line))
     runs = votes.groupBy("_row", "template", "diagonal", "part").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.collect_set("at").alias("at"), F.first("total").alias("total"))
     near = Window.partitionBy("_row", "template").orderBy("a", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(near)) > GAP) | (F.col("a") - F.lag("b").over(near) > NEAR)
+    reach = F.max("b").over(near.rowsBetween(Window.unboundedPreceding, -1))  # a short run may lie inside a long one
+    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(near)) > F.greatest(F.lit(GAP), F.floor(F.col("total") / GAP_SHARE))) | (F.col("a") - reach > NEAR)
     merged = runs.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(near)).groupBy("_row", "template", "span").agg(F.min("a").alias("start"), (F.max("b") + K).alias("end"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.first("total").alias("total"))
     labels = F.element_at(F.array(*(F.lit(x) for x, _ in TEMPLATES)), F.col("template") + 1)
     return merged.select("_row", labels.alias("label"), "start", "end", (F.size("at") / F.col("total")).alias("cover")).where(F.col("cover") >= COVER)

@@ -5,6 +5,7 @@ expected tokens of its documents equal the source's target. The dual of this max
 multiplier l_s for each source, and its optimum tilts every document exponentially: expected copies = 2 / (1 + exp(-l_s * z)),
 z = the document's size over the source's mean size. Newton steps, kept inside a shrinking bracket, solve the dual; each
 step is one aggregation over (source, size) classes, which are as many as there are distinct sizes, and not over documents.
+Every third step halves the bracket, so the dual is solved to its tolerance however Newton's steps fall.
 
 Rounding: documents of a source are ordered by falling size and the running sum of rates is rounded; a document takes the
 difference of two neighbouring roundings, so copies are 0, 1 or 2 and a source's total misses its target by half of its
@@ -12,7 +13,8 @@ largest document at most. Ranks within a size class come from hash buckets, so t
 
 Defined results: a null text has size 0, takes nothing and counts as no words; null is a source of its own, last in
 order; a source without words has target 0; repeated rows are separate documents (copies of equal rows are dealt among
-them); an empty table gives an empty result. Reruns agree: the order within a class is a hash of id, size and source.
+them); an empty table gives an empty result. Reruns agree: the order within a class is a hash of id, text and source.
+``mixed`` keeps the input's columns, whatever their names. Targets are windows over sources, of which a corpus has few.
 """
 
 from __future__ import annotations
@@ -20,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh, own
 
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE_KEYS = ["_null", "_source"]
-STEPS = 60
 ROWS_A_BUCKET = 20_000
 #: Rates are whole multiples of 1 / UNITS, so that their running sums are exact
 UNIT_BITS = 20
@@ -71,9 +72,8 @@ def solve(classes: DataFrame, per: DataFrame, scratch: Scratch, most: int, toler
     )
     data = scratch.put("dual", data)
     state = scratch.put("l0", per.where("source_size > 0").select(*SOURCE_KEYS, "target", "source_size", F.lit(0.0).alias("_l"), F.lit(-1e6).alias("_lo"), F.lit(1e6).alias("_hi"), (F.col("target") >= F.lit(most) * F.col("source_size")).alias("_done")))
-    for k in range(STEPS):
-        if state.where("not _done").isEmpty():
-            break
+    k = 0
+    while not state.where("not _done").isEmpty():
         r = _rate("_l", "_z", most)
         step = (
             data.drop("target", "source_size")
@@ -86,13 +86,14 @@ def solve(classes: DataFrame, per: DataFrame, scratch: Scratch, most: int, toler
         lo = F.when(off < 0, F.col("_l")).otherwise(F.col("_lo"))
         hi = F.when(off > 0, F.col("_l")).otherwise(F.col("_hi"))
         newton = F.col("_l") - off / F.col("_h")
-        good = (F.col("_h") > 0) & (newton > lo) & (newton < hi)
+        good = F.lit(k % 3 != 2) & (F.col("_h") > 0) & (newton > lo) & (newton < hi)
         done = F.col("_done") | F.col("_g").isNull() | (F.abs(off) <= F.lit(tolerance) * F.greatest(F.col("target"), F.lit(1.0))) | (hi - lo < 1e-12)
         state = scratch.put(
             f"l{k + 1}",
             state.join(step, SOURCE_KEYS, "left").select(*SOURCE_KEYS, "target", "source_size", F.when(done, F.col("_l")).when(good, newton).otherwise((lo + hi) / 2).alias("_l"), lo.alias("_lo"), hi.alias("_hi"), done.alias("_done")),
         )
         scratch.drop(f"l{k}")
+        k += 1
     return state
 
 
@@ -102,7 +103,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     scratch = Scratch(spark)
     keep = [id_col, *([row_col] if row_col else [])]
     sizes = docs.select(
-        *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), n_words(F.col(text_col).cast("string")).alias("_size"), F.col(source_col).isNull().alias("_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")
+        *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), n_words(F.col(text_col).cast("string")).alias("_size"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"), F.col(source_col).isNull().alias("_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")
     )
     sizes = scratch.put("sizes", sizes)
     per = scratch.put("per", targets(sizes, weights, percent, most))
@@ -120,7 +121,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         .select(*key, "source_size", "target", (F.col("_units") / F.lit(float(UNITS))).alias("rate"), "_units", "_sum", F.ceil(F.col("_n") / ROWS_A_BUCKET).cast("long").alias("_buckets"))
     )
     rated = scratch.put("rated", rated)
-    dealt = sizes.join(rated, key).withColumn("_hash", F.xxhash64(*(f"_k{i}" for i in range(len(keep))), "_size", "_source", F.lit(17)))
+    dealt = sizes.join(rated, key).withColumn("_hash", F.xxhash64("_k0", "_text", "_source", F.lit(17)))
     dealt = dealt.withColumn("_bucket", F.pmod(F.col("_hash"), F.col("_buckets")))
     heads = dealt.where("_buckets > 1").groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
     offset = F.coalesce(F.sum("_in").over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -134,8 +135,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
-    rows = Scratch(docs.sparkSession).numbered(docs)
-    taken = copies(rows, id_col, row_col="_row", **kw).where("copies > 0").select("_row", "copies")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = fresh("_row", docs.columns)
+    times = fresh("_times", docs.columns)
+    rows = Scratch(docs.sparkSession).numbered(docs, row)
+    parts = rows.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    taken = copies(parts, "_id", "_text", "_source", row_col="_row", **kw).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(times))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(fresh("_copy", docs.columns))
+    return rows.join(taken, row).select(*own(docs), each).select(*own(docs))

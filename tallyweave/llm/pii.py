@@ -8,8 +8,9 @@ where it is repeated in a form that no pattern knows (a phone number without its
 certain to at least ``min_prob`` become further spans, of the kind that they repeat.
 
 The field's weights are fitted by pseudo-likelihood (a multinomial regression of each token's label on its shape, its neighbours'
-labels and its skip neighbours' labels) on a bounded sample, ``sample`` documents in hash order with a digit or an @; the labels are the
-patterns' own. Everything else runs over whole texts of all documents. Memory is linear in the text: equal tokens are linked in a row and
+labels and its skip neighbours' labels) on a bounded sample, ``sample`` documents in hash order that may hold a base span, of at most ``most``
+tokens with a digit or an @; the labels are the patterns' own. Repeats that no pattern knows count as unlabelled there, and each observed token is
+shown once more as a repeat with its label hidden, so that the fit learns to carry labels along skips. Everything else runs over whole texts of all documents. Memory is linear in the text: equal tokens are linked in a row and
 to the latest observed one (the first if none lies before), not in pairs. Messages go round until they settle.
 
 Defined results: a null or empty text has no spans; offsets are code points; repeated rows get equal results; extra columns are not
@@ -88,7 +89,7 @@ class Graph:
     group: np.ndarray  # number of a token's key: tokens with the same digits or letters
 
 
-N_SHAPE = 16
+N_SHAPE, PLUS = 16, 15
 
 
 def shape(word: str) -> list[float]:
@@ -145,19 +146,27 @@ class Field:
 
 
 def fit(graphs: list[Graph], steps: int = 200, l2: float = 1e-3) -> Field:
-    """Pseudo-likelihood by gradient ascent: each label given its token's shape and the labels around it."""
+    """Pseudo-likelihood by gradient ascent: each label given its token's shape and the labels around it; repeats are learned from hidden labels."""
     k = len(LABELS)
     w, one = np.zeros((N_SHAPE + 3 * k, k)), np.eye(k)
     rows, labels = [], []
     for g in graphs:
         y = one[g.label]
+        seen = g.label > 0
+        known = seen | ~np.isin(g.group, g.group[seen])  # the label of a repeat that no pattern knows is not
         left, right, far = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)
         left[g.chain[:, 1]] = y[g.chain[:, 0]]
         right[g.chain[:, 0]] = y[g.chain[:, 1]]
         np.add.at(far, g.skip[:, 0], y[g.skip[:, 1]])
         np.add.at(far, g.skip[:, 1], y[g.skip[:, 0]])
-        rows.append(np.concatenate([g.shape, left, right, far], 1))
-        labels.append(y)
+        rows.append(np.concatenate([g.shape, left, right, far], 1)[known])
+        labels.append(y[known])
+        # each observed token once more as a repeat whose own label is hidden: alone, without a plus sign, linked to itself
+        plain = g.shape[seen].copy()
+        plain[:, PLUS] = 0
+        none = np.zeros_like(y[seen])
+        rows.append(np.concatenate([plain, none, none, y[seen]], 1))
+        labels.append(y[seen])
     if rows:
         x, y = np.concatenate(rows), np.concatenate(labels)
         speed = np.zeros_like(w)
@@ -218,19 +227,23 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = 500, seed: int = 11) -> Field:
-    """Weights from the first ``sample`` documents in hash order that hold a base-span candidate. Only their tokens' graphs reach the driver."""
+CANDIDATE = r"[0-9]{4}|@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+
+
+def train(docs: DataFrame, text_col: str = "text", sample: int = 500, seed: int = 11, most: int = 2000) -> Field:
+    """Weights from the first ``sample`` different texts in hash order that may hold a base span. Only their tokens' graphs reach the driver."""
     text = F.col(text_col).cast("string")
-    some = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9]{4}|@")).select("t", F.xxhash64("t", F.lit(seed)).alias("h"))
-    picked = some.select("h").distinct().orderBy("h").limit(sample)
-    found = some.join(F.broadcast(picked), "h").dropDuplicates(["h"])
+    some = docs.select(text.alias("t"), F.xxhash64(text, F.lit(seed)).alias("h"))
+    last = some.where(F.col("t").rlike(CANDIDATE)).select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # the second pass hashes texts and looks into few
+    found = some.where(F.col("h") <= F.lit(last)).where(F.col("t").rlike(CANDIDATE)).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
         for b in batches:
             got = [(h, graph(t, base_spans(t))) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            got = [(h, pickle.dumps(g)) for h, g in got if g is not None and len(g.label) <= 20_000]
+            got = [(h, pickle.dumps(g)) for h, g in got if g is not None and len(g.label) <= most]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.int64()), pa.array([g for _, g in got], pa.binary())], names=["h", "g"])
 
     import pickle
@@ -239,28 +252,28 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 500, seed: int
     return fit([pickle.loads(r.g) for r in sorted(rows, key=lambda r: r.h)])
 
 
-RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None, min_prob: float = 0.9) -> DataFrame:
-    """Per document: counts by kind, base_sha256, spans (kind:start:end, by kind and start) and n_added."""
+    """Per document: counts by kind, base_sha256, spans (kind:start:end, by kind and start), n_added and n_spans (all)."""
     model = field if field is not None else train(docs, text_col)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
                 more = added_spans(text, base, model, min_prob) if base else []
                 kinds = [s[0] for s in base]
-                row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest() if base else none, joined(base + more), len(more)]
+                row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest() if base else none, joined(base + more), len(more), len(base) + len(more)]
                 for x, v in zip(out, row, strict=True):
                     x.append(v)
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     return map_batches(chosen, run, f"_id {chosen.schema['_id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("_id", id_col)
 

@@ -42,7 +42,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assignment(table(spark, sf_dir, "documents")).drop("_row")
+    return sharding.assignment(table(spark, sf_dir, "documents"))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,8 @@ LOWER = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'
 SPACED = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 ALNUM = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+NIBBLES = [f"{i:04b}" for i in range(16)]
+
 #: For DuckDB. The others' methods have no SQL form for their whole result and are tested against plain Python.
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {SPACED} AS ws FROM documents),
@@ -83,4 +85,10 @@ cov AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(p,
 ids AS (SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS t FROM (SELECT DISTINCT rid, item_id::VARCHAR AS t FROM h) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN ids USING (rid)""",
+    "op7_sharding": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS m FROM documents),
+b AS (SELECT rid, doc_id, n, array_to_string(list_transform(range(1, 17), lambda i: {NIBBLES}[instr('0123456789abcdef', m[i])]), '') AS b FROM d),
+e AS (SELECT rid, n, b[1:k] AS p, k FROM b, range(65) AS t(k)),
+s AS (SELECT k, p, sum(n) AS size, count(*) AS c FROM e GROUP BY ALL),
+f AS (SELECT rid, min(k) AS k FROM e JOIN s USING (k, p) WHERE size <= {sharding.LIMIT} OR c = 1 GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, p AS shard, k::INTEGER AS shard_depth, size::BIGINT AS shard_bytes FROM f JOIN b USING (rid) JOIN s ON s.k = f.k AND s.p = b.b[1:f.k]""",
 }

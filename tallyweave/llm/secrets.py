@@ -3,7 +3,8 @@
 Candidates are found by Java patterns inside Spark expressions. One pattern call gives the gaps and the matches of a text in turn, so that
 offsets are running sums of their lengths. Base kinds (assign, access, hex) always stay. Further kinds (bearer, url, mixed) are candidates only:
 each distinct value is hashed, hashes are aggregated over the whole corpus by distinct repository and owner, and a value becomes a
-span if it belongs to few of them (``own`` repositories and owners at most). Values found more widely are copied examples. The same figures
+span if it belongs to few of them (``own`` repositories and owners at most). Values found more widely are copied examples. A table without a repository column has
+each different text for a repository: copies of one document count once, and a value in many texts of one owner is still an example. The same figures
 split base spans into ``n_live`` and ``n_example``.
 
 A hot value (an example in a third of all documents) is reduced to distinct (value, repository, owner) before the shuffle, and the join back
@@ -54,7 +55,8 @@ def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str | None) -> DataFrame:
     """_row, _id, _repo, _owner, base and more (sorted by start and kind; more does not overlap base)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    who = [F.to_json(F.struct(F.col(c).cast("string").alias("v"))) if c else F.lit("") for c in (repo_col, owner_col or repo_col)]
+    by = lambda c: F.to_json(F.struct(F.col(c).cast("string").alias("v")))
+    who = [by(repo_col) if repo_col else F.xxhash64(text).cast("string"), by(owner_col) if owner_col else F.lit("")]
     rows = docs.select("_row", F.col(id_col).alias("_id"), who[0].alias("_repo"), who[1].alias("_owner"), text.alias("_text"))
     every = lambda kinds: F.array_sort(F.concat(*(found(F.col("_text"), *k) for k in kinds)))
     rows = rows.select("_row", "_id", "_repo", "_owner", every(BASE).alias("base"), every(MORE).alias("more"))
@@ -75,7 +77,7 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", owner_col: str | None = None, own: int = 2) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = "source", own: int = 2) -> DataFrame:
     """Per document: n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put("candidates", candidates(scratch.numbered_once(docs), id_col, text_col, repo_col, owner_col))
