@@ -12,8 +12,8 @@ Shorter repeated strings, of ``passage`` bytes, are reported by the same search
    contexts, one of each is sent to the shard of the core.
 3. A shard lays its contexts out as one string and builds its suffix array and permuted common prefixes; starts that share ``passage`` or
    ``length`` bytes with another start are repeated.
-4. A core with more than HOT_BYTES of different contexts (a passage within a third of all documents, differing in what surrounds it) would
-   not fit one task: its runs are cut to the next of WIDTHS, which makes cores longer, and dealt anew. At width 1 a core is the window.
+4. A core with more than HOT_BYTES of different contexts (near copies with an edit each; a passage within a third of all documents, differing in what
+   surrounds it, would not fit one task) has its runs cut to the next of WIDTHS, which makes cores longer, and dealt anew. At width 1 a core is the window.
 5. Documents of ``length`` bytes or more with an equal text elsewhere go whole; one of each class stays in the search as a partner. The repeated byte
    ranges of the others are merged and cut out.
 
@@ -38,8 +38,9 @@ from .scratch import Scratch, fresh, map_batches, own
 from .suffixes import common_prefixes, repeated, suffix_array
 
 LENGTH, PASSAGE, GRAM = 400, 256, 24
-#: Bytes of the different contexts of one core that a task takes at most (a suffix array needs about a hundred times that)
-HOT_BYTES = 1_000_000
+#: Bytes of the different contexts of one core above which its runs are cut to the next width, by level: at first, cutting is cheaper than
+#: sorting groups of more than a few contexts; the last is what a task takes at most (a suffix array needs about a hundred times that)
+HOT_BYTES = (4_096, 1_000_000)
 SHARD_BYTES = 1_000_000
 #: Places of the gram in its window that a run's windows may span, as parts of all places, until single windows
 WIDTHS = (2, 16)
@@ -220,7 +221,7 @@ def ranges(docs: DataFrame, found: DataFrame, length: int, passage: int, gram: i
         per = scratch.put(f"per{level}", occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("_row", "a", "z", "e", "whole"))))
         out.append(_all_of(occ.join(per.where("c > 1").select("key", "ctx"), ["key", "ctx"]).where("not whole"), length, passage))
         groups = per.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("e") - F.col("a")).alias("size")).where("d > 1")
-        wanted = scratch.put(f"wanted{level}", per.join(groups, "key").select("key", "_row", "a", "z", "e", "whole", (F.col("size") > HOT_BYTES).alias("hot")))
+        wanted = scratch.put(f"wanted{level}", per.join(groups, "key").select("key", "_row", "a", "z", "e", "whole", (F.col("size") > HOT_BYTES[min(level, len(HOT_BYTES) - 1)]).alias("hot")))
         if _width(passage, gram, level) == 1:  # equal windows with different bytes behind them
             out.append(wanted.where("not whole").select("_row", F.lit(False).alias("long"), "a", (F.col("a") + passage).alias("b")))
             break

@@ -84,22 +84,26 @@ def _by_suffix(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     by_char = np.argsort(t[lms], kind="stable")  # the seeds stand at their buckets' ends, in their order
     c = t[lms][by_char]
     out[ends[c] - np.searchsorted(c, c, side="right") + np.arange(len(c))] = lms[by_char]
-    sa, char, is_small = out.tolist(), t.tolist(), small.tolist()
-    sa_at = heads[char[n - 1]]
-    sa[sa_at] = n - 1
-    heads[char[n - 1]] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = char[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_small[j]:
-            c = char[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
+    # of each suffix, the character before it, if the suffix that begins there is of the kind that a pass places; else -1 (as for -1, no suffix)
+    none = np.full(n + 1, -1, np.int64)
+    large, little = none.copy(), none.copy()
+    large[1:n], little[1:n] = np.where(small[:-1], -1, t[:-1].astype(np.int64)), np.where(small[:-1], t[:-1].astype(np.int64), -1)
+    sa, large, little = out.tolist(), large.tolist(), little.tolist()
+    c = int(t[n - 1])
+    sa[heads[c]] = n - 1
+    heads[c] += 1
+    for i in sa:  # places behind this one are filled on the way
+        c = large[i]
+        if c >= 0:
+            at = heads[c]
+            sa[at] = i - 1
+            heads[c] = at + 1
+    for i in reversed(sa):
+        c = little[i]
+        if c >= 0:
+            at = tails[c] - 1
+            sa[at] = i - 1
+            tails[c] = at
     return np.array(sa, np.int64)
 
 
