@@ -90,5 +90,5 @@ b AS (SELECT rid, doc_id, n, array_to_string(list_transform(range(1, 17), lambda
 e AS (SELECT rid, n, b[1:k] AS p, k FROM b, range(65) AS t(k)),
 s AS (SELECT k, p, sum(n) AS size, count(*) AS c FROM e GROUP BY ALL),
 f AS (SELECT rid, min(k) AS k FROM e JOIN s USING (k, p) WHERE size <= {sharding.LIMIT} OR c = 1 GROUP BY rid)
-SELECT doc_id, n::BIGINT AS n_bytes, p AS shard, k::INTEGER AS shard_depth, size::BIGINT AS shard_bytes FROM f JOIN b USING (rid) JOIN s ON s.k = f.k AND s.p = b.b[1:f.k]""",
+SELECT doc_id, n::BIGINT AS n_bytes, p AS shard, f.k::INTEGER AS shard_depth, size::BIGINT AS shard_bytes FROM f JOIN b USING (rid) JOIN s ON s.k = f.k AND s.p = b.b[1:f.k]""",
 }
