@@ -5,7 +5,7 @@ expected tokens of its documents equal the source's target. The dual of this max
 multiplier l_s for each source, and its optimum tilts every document exponentially: expected copies = 2 / (1 + exp(-l_s * z)),
 z = the document's size over the source's mean size. Newton steps, kept inside a shrinking bracket, solve the dual; each
 step is one aggregation over (source, size) classes, which are as many as there are distinct sizes, and not over documents.
-Every third step halves the bracket, so the dual is solved to its tolerance however Newton's steps fall.
+After NEWTON steps the bracket is halved until it is closed, so the dual is solved to its tolerance however Newton's steps fall.
 
 Rounding: documents of a source are ordered by falling size and the running sum of rates is rounded; a document takes the
 difference of two neighbouring roundings, so copies are 0, 1 or 2 and a source's total misses its target by half of its
@@ -26,6 +26,8 @@ from .scratch import Scratch, fresh, own
 
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE_KEYS = ["_null", "_source"]
+#: Steps after which only halving is left (a few are usual)
+NEWTON = 60
 ROWS_A_BUCKET = 20_000
 #: Rates are whole multiples of 1 / UNITS, so that their running sums are exact
 UNIT_BITS = 20
@@ -86,7 +88,7 @@ def solve(classes: DataFrame, per: DataFrame, scratch: Scratch, most: int, toler
         lo = F.when(off < 0, F.col("_l")).otherwise(F.col("_lo"))
         hi = F.when(off > 0, F.col("_l")).otherwise(F.col("_hi"))
         newton = F.col("_l") - off / F.col("_h")
-        good = F.lit(k % 3 != 2) & (F.col("_h") > 0) & (newton > lo) & (newton < hi)
+        good = F.lit(k < NEWTON) & (F.col("_h") > 0) & (newton > lo) & (newton < hi)
         done = F.col("_done") | F.col("_g").isNull() | (F.abs(off) <= F.lit(tolerance) * F.greatest(F.col("target"), F.lit(1.0))) | (hi - lo < 1e-12)
         state = scratch.put(
             f"l{k + 1}",
