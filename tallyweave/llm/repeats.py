@@ -3,17 +3,18 @@
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus (the same document included).
 Shorter repeated strings, of ``passage`` bytes, are reported by the same search and not removed.
 
-1. Owners. Every window of ``passage`` bytes is owned by the lowest hash of ``gram`` bytes inside it (the first of equal ones). Equal windows own equal
+Strings of both sizes are searched alike, each with windows of its own size:
+
+1. Owners. Every window of ``size`` bytes is owned by the lowest hash of ``gram`` bytes inside it (the first of equal ones). Equal windows own equal
    grams at equal places. Neighbouring windows with one owner make a run, cut where the gram's place in the window passes a multiple of
    a width, so that all windows of a run hold a common core: the bytes around the gram that every such window has. Runs whose cores
-   (by hash) differ have no equal windows. A run's context is its bytes and what follows, up to ``length`` from its last start;
-   equal strings of ``length`` bytes begin with equal windows, so they too are found within one core.
+   (by hash) differ have no equal windows. A run's context is the bytes of its windows.
 2. Cores that occur once end here. Equal contexts (by hash and extent) are repeated as a whole. Where a core has two or more different
    contexts, one of each is sent to the shard of the core.
-3. A shard lays its contexts out as one string and builds its suffix array and permuted common prefixes; starts that share ``passage`` or
-   ``length`` bytes with another start are repeated.
+3. A shard lays its contexts out as one string and builds its suffix array and permuted common prefixes; starts that share ``size`` bytes
+   with another start are repeated.
 4. A core with more than HOT_BYTES of different contexts (a passage within a third of all documents, differing in what surrounds it) would
-   not fit one task: its runs are cut to the next of WIDTHS, which makes cores longer, and dealt anew. At width 1 a core is the window.
+   not fit one task: its runs are cut to the next of WIDTHS, which makes cores longer, and dealt anew. At width 1 a context is one window.
 5. Documents of ``length`` bytes or more with an equal text elsewhere go whole; one of each class stays in the search as a partner. The repeated byte
    ranges of the others are merged and cut out.
 
@@ -40,7 +41,7 @@ from .suffixes import common_prefixes, repeated, suffix_array
 LENGTH, PASSAGE, GRAM = 400, 256, 24
 #: Bytes of the different contexts of one core that a task takes at most (a suffix array needs about a hundred times that)
 HOT_BYTES = 1_000_000
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 250_000
 #: Places of the gram in its window that a run's windows may span, as parts of all places, until single windows
 WIDTHS = (2, 16)
 #: Window starts that are worked on at once
@@ -59,13 +60,10 @@ def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def _runs_of(data: np.ndarray, length: int, passage: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
-    n, w = len(data), passage - gram + 1
-    up, down = tv.powers(n + 1)
-    sums = np.zeros(n + 1, U)
+def _runs_of(sums: np.ndarray, h: np.ndarray, size: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    w = size - gram + 1
+    up, down = tv.powers(len(sums))
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-        h = tv.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
         low = U(PLACES - 1)
         place = (_slide_min((h & ~low) | np.arange(len(h), dtype=U), w) & low).astype(np.int64)
         block = (place - np.arange(len(place))) // width
@@ -74,53 +72,58 @@ def _runs_of(data: np.ndarray, length: int, passage: int, gram: int, width: int)
         last = np.concatenate([cut - 1, [len(place) - 1]])
         pos, block = place[first], block[first]
         core = pos - block * width  # the latest start of such a window, and the end of the earliest
-        core_end = pos - np.minimum((block + 1) * width - 1, w - 1) + passage
-        end = np.minimum(last + length, n)
-        key = tv.mix((sums[core_end] - sums[core]) * down[core] + (block * PLACES + width).astype(U))
-        ctx = tv.mix((sums[end] - sums[first]) * down[first] + (pos - first).astype(U) * U(0x9E3779B1) + (end - first).astype(U) * U(0x85EBCA77C2B2AE63) + (last - first).astype(U) * U(0xC2B2AE3D27D4EB4F))
-    return key, ctx, first, last, end
-
-
-def runs_of(data: np.ndarray, length: int, passage: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
-    """Of each run: core, context, first and last window start, end of the context. data has passage bytes or more."""
-    starts = len(data) - passage + 1
-    parts = []
-    for s in range(0, starts, SEGMENT):
-        many = min(SEGMENT, starts - s)
-        key, ctx, first, last, end = _runs_of(data[s : s + many - 1 + length], length, passage, gram, width)
-        mine = first < many  # the rest of the segment's windows are the next one's
-        parts.append((key[mine], ctx[mine], first[mine] + s, np.minimum(last[mine], many - 1) + s, end[mine] + s))
+        core_end = pos - np.minimum((block + 1) * width - 1, w - 1) + size
+        end = last + size
+        key = tv.mix((sums[core_end] - sums[core]) * down[core] + (block * PLACES + width).astype(U) + U(size) * U(0x85EBCA77C2B2AE63))
+        ctx = tv.mix((sums[end] - sums[first]) * down[first] + (pos - first).astype(U) * U(0x9E3779B1) + (last - first).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    return key, ctx, first, last
+
+
+def runs_of(data: np.ndarray, kinds: list[tuple[bool, int, int]], gram: int) -> tuple[np.ndarray, ...]:
+    """Of each run: core, context, first and last window start, kind. kinds: (kind, size of its windows, width)."""
+    parts = [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for s in range(0, len(data) - min(size for _, size, _ in kinds) + 1, SEGMENT):
+        x = data[s : s + SEGMENT - 1 + max(size for _, size, _ in kinds)]
+        up, down = tv.powers(len(x) + 1)
+        sums = np.zeros(len(x) + 1, U)
+        with np.errstate(over="ignore"):
+            np.cumsum((x.astype(U) + U(1)) * up[: len(x)], out=sums[1:])
+            h = tv.mix((sums[gram:] - sums[:-gram]) * down[: len(x) - gram + 1])
+        for kind, size, width in kinds:
+            n = min(len(x), SEGMENT - 1 + size)  # windows that start behind the segment are the next one's
+            if n >= size:
+                key, ctx, first, last = _runs_of(sums[: n + 1], h[: n - gram + 1], size, gram, width)
+                parts.append((key, ctx, first + s, last + s, np.full(len(key), kind)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-RUN = "key:long,ctx:long,a:int,z:int,e:int"
-ITEM = pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("e", pa.int32())])
+RUN = "key:long,ctx:long,a:int,z:int,long:boolean"
+ITEM = pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("long", pa.bool_())])
 
 
-def _width(passage: int, gram: int, level: int) -> int:
-    places = passage - gram + 1
-    return max(1, -(-places // WIDTHS[level])) if level < len(WIDTHS) else 1
+def _kinds(sizes: dict[bool, int], gram: int, level: int) -> list[tuple[bool, int, int]]:
+    """Kind, size and width of the windows searched, at a level of cutting."""
+    return [(kind, size, max(1, -(-(size - gram + 1) // WIDTHS[level])) if level < len(WIDTHS) else 1) for kind, size in sizes.items()]
 
 
-def scanned(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
+def scanned(docs: DataFrame, sizes: dict[bool, int], gram: int) -> DataFrame:
     """Size, content hash and runs of each document (_row, _id, _text)."""
-    width = _width(passage, gram, 0)
+    kinds = _kinds(sizes, gram, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = tv.text_buffers(b.column(2))
-            c1, c2, sha, parts, count = [], [], [], [], [0]
+            c1, c2, sha, parts, count = [], [], [], [runs_of(data[:0], kinds, gram)], [0]
             for r in range(len(b)):
                 d = data[offs[r] : offs[r + 1]]
                 digest = hashlib.sha256(d)
                 sha.append(digest.digest())
                 c1.append(int.from_bytes(digest.digest()[:8], "big", signed=True))
                 c2.append(int.from_bytes(digest.digest()[8:16], "big", signed=True))
-                if len(d) >= passage:
-                    parts.append(runs_of(d, length, passage, gram, width))
-                count.append(count[-1] + (len(parts[-1][0]) if len(d) >= passage else 0))
-            join = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U)] * 5
-            values = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in join[:2]] + [pa.array(x.astype(np.int32)) for x in join[2:]], fields=list(ITEM))
+                parts.append(runs_of(d, kinds, gram))
+                count.append(count[-1] + len(parts[-1][0]))
+            key, ctx, a, z, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            values = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(kind)], fields=list(ITEM))
             found = pa.ListArray.from_arrays(pa.array(count, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.diff(offs)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sha, pa.binary()), found], names=["_id", "_row", "n_bytes", "c1", "c2", "sha", "runs"])
 
@@ -140,34 +143,30 @@ def _stretches(flags: np.ndarray) -> np.ndarray:
 FOUND = "_row long, long boolean, a int, b int"
 
 
-def _shard(length: int, passage: int):
+def _shard(sizes: dict[bool, int]):
     def run(t: pa.Table) -> pa.Table:
-        texts = [x.as_py() for x in t.column("bytes")]
+        kind = t.column("long")[0].as_py()  # one for the shard
+        size = sizes[kind]
+        texts = t.column("bytes").to_pylist()
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        sizes = np.array([len(x) for x in texts])
-        at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        row, first, last = (t.column(c).to_numpy() for c in ("_row", "a", "z"))
+        ends = np.cumsum(np.array([len(x) for x in texts]) + 1)
+        at = np.concatenate([[0], ends[:-1]])
+        row, first = (t.column(c).to_numpy() for c in ("_row", "a"))
         order = suffix_array(data)
-        prefixes = common_prefixes(data, order)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for size in (passage, length):
-            starts = np.zeros(len(data) + 1, np.int32)
-            np.add.at(starts, at[:-1], 1)
-            np.add.at(starts, at[:-1] + np.clip(sizes - size + 1, 0, last - first + 1), -1)
-            # the last start of a context is followed by bytes that are none, so stretches stay inside
-            found = _stretches(repeated(order, prefixes, np.cumsum(starts[:-1]) > 0, size))
-            k = np.searchsorted(at, found[:, 0], side="right") - 1
-            shift = first[k].astype(np.int64) - at[k]
-            for x, v in zip(out, (row[k], np.full(len(k), size == length), found[:, 0] + shift, found[:, 1] - 1 + shift + size), strict=True):
-                x.append(v)
-        return pa.table({"_row": np.concatenate(out[0]), "long": np.concatenate(out[1]), "a": np.concatenate(out[2]).astype(np.int32), "b": np.concatenate(out[3]).astype(np.int32)})
+        starts = np.zeros(len(data) + 1, np.int32)
+        starts[at] = 1
+        starts[ends - size] = -1  # behind the last window of a context, so that stretches stay inside
+        found = _stretches(repeated(order, common_prefixes(data, order), np.cumsum(starts[:-1]) > 0, size))
+        k = np.searchsorted(at, found[:, 0], side="right") - 1
+        shift = first[k].astype(np.int64) - at[k]
+        return pa.table({"_row": row[k], "long": pa.array(np.full(len(k), kind), pa.bool_()), "a": (found[:, 0] + shift).astype(np.int32), "b": (found[:, 1] - 1 + shift + size).astype(np.int32)})
 
     return run
 
 
 def _of_texts(docs: DataFrame, wanted: DataFrame, make, columns: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
     """What make(text, run) yields (tuples of values) of the wanted runs, after _row."""
-    ranges = wanted.groupBy("_row").agg(F.collect_list(F.struct("key", "a", "z", "e", "whole")).alias("_ranges"))
+    ranges = wanted.groupBy("_row").agg(F.collect_list(F.struct("key", "a", "z", "long", "whole")).alias("_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,33 +180,27 @@ def _of_texts(docs: DataFrame, wanted: DataFrame, make, columns: list[tuple[str,
     return map_batches(_asked(docs, ranges), run, f"_row long, {ddl}")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, sizes: dict[bool, int]) -> DataFrame:
     def make(d: np.ndarray, x: dict):
-        yield x["key"], x["a"], x["z"], d[x["a"] : x["e"]].tobytes()
+        yield x["key"], x["long"], x["a"], d[x["a"] : x["z"] + sizes[x["long"]]].tobytes()
 
-    return _of_texts(docs, wanted, make, [("key", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("bytes", pa.binary())], "key long, a int, z int, bytes binary")
+    return _of_texts(docs, wanted, make, [("key", pa.int64()), ("long", pa.bool_()), ("a", pa.int32()), ("bytes", pa.binary())], "key long, long boolean, a int, bytes binary")
 
 
-def _finer(docs: DataFrame, wanted: DataFrame, length: int, passage: int, gram: int, width: int) -> DataFrame:
-    """The wanted runs cut to a smaller width."""
+def _finer(docs: DataFrame, wanted: DataFrame, sizes: dict[bool, int], gram: int, level: int) -> DataFrame:
+    """The wanted runs cut to the width of a level."""
+    kinds = {k[0]: k for k in _kinds(sizes, gram, level)}
 
     def make(d: np.ndarray, x: dict):
-        key, ctx, a, z, e = runs_of(d[x["a"] : x["e"]], length, passage, gram, width)
-        a, z, e = (v + x["a"] for v in (a, z, e))
-        z = np.minimum(z, x["z"])  # windows behind the last start are other runs'
-        yield from ((*v, x["whole"]) for v in zip(key.view(np.int64).tolist(), ctx.view(np.int64).tolist(), a.tolist(), z.tolist(), e.tolist(), strict=True) if v[2] <= v[3])
-
-    return _of_texts(docs, wanted, make, [*((f.name, f.type) for f in ITEM), ("whole", pa.bool_())], "key long, ctx long, a int, z int, e int, whole boolean")
-
+        key, ctx, a, z, _ = runs_of(d[x["a"] : x["z"] + sizes[x["long"]]], [kinds[x["long"]]], gram)
+        yield from ((*v, x["long"], x["whole"]) for v in zip(key.view(np.int64).tolist(), ctx.view(np.int64).tolist(), (a + x["a"]).tolist(), (z + x["a"]).tolist(), strict=True))
 
-def _all_of(runs: DataFrame, length: int, passage: int) -> DataFrame:
-    """The byte ranges of runs that are repeated as a whole."""
-    both = F.array(F.struct(F.lit(False).alias("long"), (F.col("z") + passage).alias("b")), F.struct(F.lit(True).alias("long"), F.col("e").alias("b")))
-    return runs.select("_row", "a", F.explode(both).alias("x")).select("_row", "x.long", "a", "x.b").where(F.expr(f"not long or b - a >= {length}"))
+    return _of_texts(docs, wanted, make, [*((f.name, f.type) for f in ITEM), ("whole", pa.bool_())], "key long, ctx long, a int, z int, long boolean, whole boolean")
 
 
-def ranges(docs: DataFrame, found: DataFrame, length: int, passage: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def ranges(docs: DataFrame, found: DataFrame, sizes: dict[bool, int], gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """_row, _ranges (long, a, b; not merged) of documents that are not copies as a whole; and the classes (c1, c2) of those that are."""
+    length = sizes[True]
     copied = found.where(F.col("n_bytes") >= length).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("_row").alias("_kept")).where("m > 1")
     copied = scratch.put("copied", copied.select("c1", "c2", "_kept"))
     whole = found.where(F.col("n_bytes") >= length).select("_row", "c1", "c2").join(copied, ["c1", "c2"]).select("_row", (F.col("_row") == F.col("_kept")).alias("kept"))
@@ -215,24 +208,25 @@ def ranges(docs: DataFrame, found: DataFrame, length: int, passage: int, gram: i
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     occ = runs.join(shared, "key").join(whole, "_row", "left").where("kept is null or kept").withColumn("whole", F.col("kept").isNotNull()).drop("kept")
     occ = scratch.put("runs0", occ)
+    size = F.when(F.col("long"), F.lit(length)).otherwise(F.lit(sizes.get(False, length)))
+    extent = F.col("z") - F.col("a") + size
     out, level = [], 0
     while True:
-        per = scratch.put(f"per{level}", occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("_row", "a", "z", "e", "whole"))))
-        out.append(_all_of(occ.join(per.where("c > 1").select("key", "ctx"), ["key", "ctx"]).where("not whole"), length, passage))
-        groups = per.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("e") - F.col("a")).alias("size")).where("d > 1")
-        wanted = scratch.put(f"wanted{level}", per.join(groups, "key").select("key", "_row", "a", "z", "e", "whole", (F.col("size") > HOT_BYTES).alias("hot")))
-        if _width(passage, gram, level) == 1:  # equal windows with different bytes behind them
-            out.append(wanted.where("not whole").select("_row", F.lit(False).alias("long"), "a", (F.col("a") + passage).alias("b")))
+        per = scratch.put(f"per{level}", occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("_row", "a", "z", "long", "whole"))))
+        equal = occ.join(per.where("c > 1").select("key", "ctx"), ["key", "ctx"]).where("not whole")
+        out.append(equal.select("_row", "long", "a", (F.col("z") + size).alias("b")))
+        groups = per.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum(extent).alias("size")).where("d > 1")
+        wanted = scratch.put(f"wanted{level}", per.join(groups, "key").select("key", "_row", "a", "z", "long", "whole", (F.col("size") > HOT_BYTES).alias("hot")))
+        if level == len(WIDTHS):  # contexts are single windows, and no core has two
             break
         cool = wanted.where("not hot")
-        shards = max(1, (cool.agg(F.sum(F.col("e") - F.col("a"))).first()[0] or 0) // SHARD_BYTES)
+        shards = max(1, (cool.agg(F.sum(extent)).first()[0] or 0) // SHARD_BYTES)
         shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-        near = _contexts(docs, cool).select(shard.alias("shard"), "_row", "a", "z", "bytes").groupBy("shard").applyInArrow(_shard(length, passage), FOUND)
-        out.append(near)
+        out.append(_contexts(docs, cool, sizes).select(shard.alias("shard"), "long", "_row", "a", "bytes").groupBy("shard", "long").applyInArrow(_shard(sizes), FOUND))
         if wanted.where("hot").isEmpty():
             break
         level += 1
-        occ = scratch.put(f"runs{level}", _finer(docs, wanted.where("hot"), length, passage, gram, _width(passage, gram, level)))
+        occ = scratch.put(f"runs{level}", _finer(docs, wanted.where("hot"), sizes, gram, level))
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
@@ -256,9 +250,9 @@ def _covered(ranges) -> F.Column:
     return F.aggregate(ranges, start, more, lambda acc: acc["n"]).cast("long")
 
 
-def _found(rows: DataFrame, scratch: Scratch, length: int, passage: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = scratch.put("scanned", scanned(rows, length, passage, gram))
-    cut, copied = ranges(rows, found, length, passage, gram, scratch)
+def _found(rows: DataFrame, scratch: Scratch, sizes: dict[bool, int], gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = scratch.put("scanned", scanned(rows, sizes, gram))
+    cut, copied = ranges(rows, found, sizes, gram, scratch)
     return found.drop("runs"), cut, copied.select("c1", "c2", F.lit(True).alias("copied"))
 
 
@@ -266,7 +260,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes in strings of ``passage`` bytes that also start elsewhere)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
-    found, cut, copied = _found(rows, scratch, length, passage, gram)
+    found, cut, copied = _found(rows, scratch, {True: length, False: passage}, gram)
     is_long = F.filter("_ranges", lambda x: x["long"])
     texts = _asked(rows, cut.select("_row", is_long.alias("_ranges")).where(F.size("_ranges") > 0))
 
@@ -302,7 +296,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     scratch, row, cuts = Scratch(docs.sparkSession), fresh("_row", docs.columns), fresh("_ranges", docs.columns)
     kept = scratch.numbered(docs, row)
     rows = kept.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found, cut, copied = _found(rows, scratch, length, length, gram)
+    found, cut, copied = _found(rows, scratch, {True: length}, gram)
     gone = found.join(copied, ["c1", "c2"]).where(F.col("n_bytes") >= length).select("_row", F.expr("array(struct(true as long, 0 as a, cast(n_bytes as int) as b))").alias("_ranges"))
     cut = cut.join(gone, "_row", "left_anti").unionByName(gone).select(F.col("_row").alias(row), F.filter("_ranges", lambda x: x["long"]).alias(cuts))
     marked = kept.join(cut, row, "left").select(*own(docs), cuts)
