@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fold_of, id_key
-from ..params import MODEL_TAUS, MatchParams
+from ..params import BASELINE_TAUS, MODEL_TAUS, MatchParams
+from ..sources import tsv
 from . import scoring
 from .features import FEATURES
 
@@ -25,6 +26,8 @@ class Matcher:
     tau: float = 0.5
     f05: float = 0.0
     trees: int = 0
+    baseline_tau: float = 0.0
+    baseline_f05: float = 0.0
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """pairs with prob. The features must be those of training, in their order."""
@@ -62,14 +65,41 @@ def train(pairs: DataFrame, truth: DataFrame, gts: DataFrame, p: MatchParams = M
     again = _trees(p, first.getNumTrees, False).fit(data)
     data.unpersist()
     m = Matcher(again, list(features), trees=first.getNumTrees)
-    held = m.predict(with_fold(pairs).where(F.col("fold") == CALIBRATION_FOLD)).select("s1_id", "cand_id", "prob")
-    ids = with_fold(gts).where(F.col("fold") == CALIBRATION_FOLD)
+    held = m.predict(_calibration(pairs)).select("s1_id", "cand_id", "prob", "sc_total").persist()
+    ids = _calibration(gts)
     best = scoring.best_tau(scoring.sweep(held, truth, ids, "prob", MODEL_TAUS)).first()
-    if best is not None and best.tau is not None:
-        m.tau, m.f05 = best.tau, best.f05 or 0.0
+    if best is not None and best.f05 is not None:
+        m.tau, m.f05 = best.tau, best.f05
+    base = scoring.best_tau(scoring.sweep(held, truth, ids, "sc_total", BASELINE_TAUS)).first()
+    if base is not None and base.f05 is not None:
+        m.baseline_tau, m.baseline_f05 = base.tau, base.f05
+    held.unpersist()
     return m
 
 
+def _calibration(rows: DataFrame) -> DataFrame:
+    return with_fold(rows).where(F.col("fold") == CALIBRATION_FOLD)
+
+
+def save(m: Matcher, path: str) -> None:
+    """The trees and what goes with them, in two folders below path."""
+    m.model.write().overwrite().save(f"{path}/model")
+    meta = {"features": m.features, "tau": m.tau, "f05": m.f05, "trees": m.trees, "baseline_tau": m.baseline_tau, "baseline_f05": m.baseline_f05}
+    tsv.write_meta(SparkSession.active(), f"{path}/meta", meta)
+
+
+def load(path: str) -> Matcher:
+    return Matcher(GBTClassificationModel.load(f"{path}/model"), **tsv.read_meta(SparkSession.active(), f"{path}/meta"))
+
+
+def report(m: Matcher, pairs: DataFrame, truth: DataFrame, gts: DataFrame, countries: DataFrame) -> DataFrame:
+    """score, tau, country ('ALL' for all), ids, f05, prec, rec on the calibration fold: the matcher, and the blocking total alone."""
+    held, ids = m.predict(_calibration(pairs)).select("s1_id", "cand_id", "prob", "sc_total"), _calibration(gts)
+    every = countries.select("id", "country").unionByName(countries.select("id", F.lit("ALL").alias("country")))
+    of = lambda name, score, tau: by_country(held.withColumn("prob", F.col(score)), truth, ids, every, tau).select(F.lit(name).alias("score"), F.lit(tau).alias("tau"), "country", "ids", "f05", "prec", "rec")
+    return of("matcher", "prob", m.tau).unionByName(of("baseline", "sc_total", m.baseline_tau))
+
+
 def matches(predicted: DataFrame, tau: float, cutoff: float | None = None) -> DataFrame:
     """Pairs of a probability of tau or more; below a cutoff of the blocking total a pair is neither candidate nor match."""
     kept = predicted if cutoff is None else scoring.pruned(predicted, cutoff)

@@ -71,6 +71,8 @@ def validate_file(spark: SparkSession, path: str, header: tuple[str, str], requi
         first = lines.first()
     except Exception as e:  # the path may not exist
         return stop(f"unreadable: {type(e).__name__}")
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return stop("not UTF-8")
     if why := header_error(first.value if first else None, header):
         return stop(why)
     return list_rows_report(lines.where(F.col("value") != F.lit(first.value)), required, known)
@@ -88,7 +90,7 @@ def validate(spark: SparkSession, matches_path: str, candidates_path: str | None
         from ..sources.tsv import read_lists
 
         pairs = lambda p: read_lists(spark, p).select("s1_id", F.explode(F.split("items", ",")).alias("cand_id")).where("cand_id <> ''")
-        if not out.where("rule like 'unreadable%'").count():
+        if out.where("rule like 'unreadable%' or rule = 'not UTF-8'").isEmpty():
             out = out.unionByName(unmatched_candidates(pairs(matches_path), pairs(candidates_path)))
     out = out.persist()
     return out, int(not out.where("severity = 'error'").isEmpty())

@@ -1,13 +1,15 @@
-"""The three entry points: candidate generation, training, and prediction with its outputs."""
+"""From files to outputs: candidate generation, training, prediction, pruning, checks and bundles."""
 
 from __future__ import annotations
 
 import zipfile
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import id_key
 from ..operators import blocking, features, learning, scoring, validate
 from ..params import BlockParams, MatchParams
 from ..sources import tsv
@@ -37,6 +39,38 @@ def cache_tag(cands: DataFrame) -> str:
     return f"{r.a}x{r.b}"
 
 
+def fit(spark: SparkSession, s1_path: str, s2_path: str, s3_path: str, truth_path: str, out_dir: str, p: BlockParams = BlockParams(), mp: MatchParams = MatchParams()) -> learning.Matcher:  # noqa: B008
+    """Trains on the held-out S1 records. Writes candidates, the training table with its ids and tag, the matcher and its report below out_dir."""
+    p = replace(p, val_only=True)
+    cands = block(spark, s1_path, s2_path, s3_path, out_dir, p)
+    s1 = blocking.queries_of(tsv.read_records(spark, s1_path, 1), p)
+    truth, _ = tsv.read_truth(spark, truth_path)
+    ids = scoring.gt_counts(s1.select(F.col("id").alias("s1_id")), truth).join(s1.select(F.col("id").alias("s1_id"), "country"), "s1_id")
+    ids.withColumn("key", id_key(F.col("s1_id"))).write.mode("overwrite").parquet(f"{out_dir}/validation_ids.parquet")
+    training_table(cands, s1, tsv.targets(spark, s2_path, s3_path), truth, mp).write.mode("overwrite").parquet(f"{out_dir}/training.parquet")
+    tsv.write_meta(spark, f"{out_dir}/validation_tag", {"tag": cache_tag(cands)})
+    pairs, ids = spark.read.parquet(f"{out_dir}/training.parquet"), spark.read.parquet(f"{out_dir}/validation_ids.parquet")
+    gts = ids.select("s1_id", "gt_count")
+    m = learning.train(pairs, truth, gts, mp)
+    learning.save(m, f"{out_dir}/matcher")
+    learning.report(m, pairs, truth, gts, ids.select(F.col("s1_id").alias("id"), "country")).coalesce(1).write.mode("overwrite").json(f"{out_dir}/matcher/report")
+    return m
+
+
+def link(spark: SparkSession, matcher_path: str, s1_path: str, s2_path: str, s3_path: str, out_dir: str, cutoff: float | None = 0.8, p: BlockParams = BlockParams(), mp: MatchParams = MatchParams()) -> tuple[DataFrame, int]:  # noqa: B008
+    """From record files to checked lists with a saved matcher; the report on them and its exit code."""
+    cands = block(spark, s1_path, s2_path, s3_path, out_dir, p)
+    s1 = blocking.queries_of(tsv.read_records(spark, s1_path, 1), p)
+    predict(learning.load(matcher_path), cands, s1, tsv.targets(spark, s2_path, s3_path), out_dir, cutoff, mp)
+    return check(spark, out_dir, s1_path, [s2_path, s3_path])
+
+
+def prune_outputs(spark: SparkSession, out_dir: str, s1_path: str, tau: float, cutoff: float = 0.8, p: BlockParams = BlockParams()) -> None:  # noqa: B008
+    """Writes both lists of a finished run anew, without the pairs below a cutoff. They come from the scored pairs, so a stopped run can be repeated."""
+    scored = spark.read.parquet(f"{out_dir}/scored.parquet")
+    _write_lists(blocking.queries_of(tsv.read_records(spark, s1_path, 1), p), scored, tau, cutoff, out_dir)
+
+
 def evaluate(cands: DataFrame, truth: DataFrame, s1: DataFrame) -> dict[str, DataFrame]:
     ids = s1.select(F.col("id").alias("s1_id"), "country")
     gts = scoring.gt_counts(ids.select("s1_id"), truth)
@@ -55,11 +89,15 @@ def predict(m: learning.Matcher, cands: DataFrame, s1: DataFrame, targets: DataF
     scored = m.predict(x).select("s1_id", "cand_id", F.col("sc_total").alias("total"), "prob")
     scored.write.mode("overwrite").parquet(f"{out_dir}/scored.parquet")
     scored = s1.sparkSession.read.parquet(f"{out_dir}/scored.parquet")
+    _write_lists(s1, scored, m.tau, cutoff, out_dir)
+    return scored
+
+
+def _write_lists(s1: DataFrame, scored: DataFrame, tau: float, cutoff: float | None, out_dir: str) -> None:
     best = [F.col("prob").desc(), F.col("cand_id")]
-    tsv.write_lists(tsv.list_rows(s1, learning.matches(scored, m.tau, cutoff), best), f"{out_dir}/matching_results", tsv.MATCH_HEADER)
+    tsv.write_lists(tsv.list_rows(s1, learning.matches(scored, tau, cutoff), best), f"{out_dir}/matching_results", tsv.MATCH_HEADER)
     if cutoff is not None:
         tsv.write_lists(tsv.candidate_lists(s1, scoring.pruned(scored, cutoff)), f"{out_dir}/candidate_pairs", tsv.CANDIDATE_HEADER)
-    return scored
 
 
 def check(spark: SparkSession, out_dir: str, s1_path: str, target_paths: list[str] | None = None) -> tuple[DataFrame, int]:
@@ -84,3 +122,33 @@ def package(zip_path: str, required: list[str], sources: str) -> list[str]:
             info.compress_type = zipfile.ZIP_DEFLATED
             z.writestr(info, f.read_bytes())
     return [n for _, n in names]
+
+
+#: Folders of a run that a bundle holds
+BUNDLED = ("matching_results", "candidate_pairs")
+#: Bytes of candidate lists above which a bundle prunes them first
+BUNDLE_BYTES = 750_000_000
+
+
+def handoff(spark: SparkSession, out_dir: str, matcher_path: str, s1_path: str, zip_path: str, cutoff: float = 0.8, limit: int = BUNDLE_BYTES) -> list[str]:
+    """A zip, on the driver, of a run's lists and its matcher. Large candidate lists are pruned first; a run that breaks a rule gives none."""
+    fs_of = lambda path: (at := spark._jvm.org.apache.hadoop.fs.Path(path), at.getFileSystem(spark._jsc.hadoopConfiguration()))
+    at, fs = fs_of(f"{out_dir}/candidate_pairs")
+    if fs.getContentSummary(at).getLength() > limit:
+        prune_outputs(spark, out_dir, s1_path, learning.load(matcher_path).tau, cutoff)
+    report, code = check(spark, out_dir, s1_path)
+    if code:
+        raise ValueError(f"the outputs break rules: {[r.rule for r in report.where("severity = 'error'").collect()]}")
+    names = []
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        for folder in (*(f"{out_dir}/{x}" for x in BUNDLED), matcher_path):
+            at, fs = fs_of(folder)
+            root, files = fs.getFileStatus(at).getPath(), fs.listFiles(at, True)
+            while files.hasNext():
+                f = files.next().getPath()
+                names.append(f"{root.getName()}/{f.toString()[len(root.toString()) + 1:]}")
+                copied = Path(f"{zip_path}.part")
+                fs.copyToLocalFile(False, f, spark._jvm.org.apache.hadoop.fs.Path(f"file://{copied.absolute()}"), True)
+                z.write(copied, names[-1])
+                copied.unlink()
+    return names

@@ -122,6 +122,15 @@ def write_store(records: DataFrame, path: str) -> None:
     records.withColumn("key", id_key(F.col("id"))).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def lookup(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (id) with the fields of their records; nulls and no key where the store has none."""
+    return ids.select("id").join(store, "id", "left")
+
+
 def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     """A small JSON document through Spark's writer, so that any store works."""
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

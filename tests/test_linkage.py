@@ -81,9 +81,8 @@ def test_context_next_best_is_strictly_lower(spark):
 
 
 def test_train_and_predict(spark, tmp_path):
-    a, b = surrogate.sides(spark, "/root/testdata/sf0.001")
-    truth = surrogate.truth(spark, "/root/testdata/sf0.001")
-    cands = blocking.block(a, b).checkpoint()
+    run = surrogate.Run(spark, "/root/testdata/sf0.001")
+    a, b, truth, cands = run.a, run.b, run.truth, run.cands
     table = linkage.training_table(cands, a, b, truth).persist()
     assert set(features.FEATURES) <= set(table.columns) and len(features.FEATURES) == 44
     gts = scoring.gt_counts(a.select(F.col("id").alias("s1_id")), truth)
@@ -94,9 +93,63 @@ def test_train_and_predict(spark, tmp_path):
     assert len(m.importances()) == 15 and linkage.cache_tag(cands).count("x") == 1
     with pytest.raises(ValueError):
         m.predict(table.drop("njacc"))
+    learning.save(m, f"{tmp_path}/matcher")
+    again = learning.load(f"{tmp_path}/matcher")
+    assert (again.tau, again.trees, again.features, again.baseline_tau) == (m.tau, m.trees, m.features, m.baseline_tau)
+    prob = lambda x: {(r.s1_id, r.cand_id): r.prob for r in x.predict(table).collect()}
+    assert prob(again) == prob(m)
+    report = {(r.score, r.country): r for r in learning.report(m, table, truth, gts, a).collect()}
+    assert report["matcher", "ALL"].f05 == pytest.approx(m.f05) and report["baseline", "ALL"].f05 == pytest.approx(m.baseline_f05)
     assert learning.by_country(m.predict(table), truth, gts, a, m.tau).count() == a.select("country").distinct().count()
 
 
+@pytest.fixture(scope="module")
+def entity_files(spark, tmp_path_factory):
+    """Record files and truth whose pairs are copies with another spelling."""
+    d = tmp_path_factory.mktemp("entities")
+    words = ["amber", "birch", "cedar", "delta", "ember", "flint", "grove", "heron", "iris", "jade", "kite", "lotus"]
+    name = lambda i: f"{words[i % 12]} {words[i // 12 % 12]} trading {i}"
+    ids = range(400)
+    head = "id\tname\taddress\tcountry\n"
+    (d / "s1.tsv").write_text(head + "".join(f"S1-{i}\t{name(i)} ltd\t{i} main road\tUS\n" for i in ids))
+    (d / "s2.tsv").write_text(head + "".join(f"S2-{i}\t{name(i)}\t{i} main rd\tUS\n" for i in ids if i % 5))
+    (d / "s3.tsv").write_text(head + "".join(f"S3-{i}\t{name(i + 1)}\t{i} other street\tUS\n" for i in ids if i % 3))
+    (d / "truth.tsv").write_text("s1\tids\n" + "".join(f"S1-{i}\t{f'S2-{i}' if i % 5 else ''}\n" for i in ids))
+    return d
+
+
+def test_from_files_to_a_bundle(spark, entity_files, tmp_path):
+    s1, s2, s3, truth = (f"{entity_files}/{x}.tsv" for x in ("s1", "s2", "s3", "truth"))
+    m = linkage.fit(spark, s1, s2, s3, truth, f"{tmp_path}/fit", BlockParams(val_mod=2), MatchParams(rounds=3, depth=2, min_leaf=2))
+    assert spark.read.json(f"{tmp_path}/fit/matcher/report").where("country = 'ALL'").count() == 2
+    assert "x" in tsv.read_meta(spark, f"{tmp_path}/fit/validation_tag")["tag"]
+    out = f"{tmp_path}/out"
+    report, code = linkage.link(spark, f"{tmp_path}/fit/matcher", s1, s2, s3, out, None)
+    assert code == 0 and report.count() == 0
+    before = {r.s1_id: set(filter(None, r["items"].split(","))) for r in tsv.read_lists(spark, f"{out}/candidate_pairs").collect()}
+    scored = spark.read.parquet(f"{out}/scored.parquet")
+    cut = scored.approxQuantile("total", [0.5], 0.0)[0] + 1e-9
+    names = linkage.handoff(spark, out, f"{tmp_path}/fit/matcher", s1, str(tmp_path / "b.zip"), cutoff=cut, limit=1)
+    assert any(n.startswith("matching_results/part-") for n in names) and any(n.startswith("matcher/meta/part-") for n in names)
+    after = {r.s1_id: set(filter(None, r["items"].split(","))) for r in tsv.read_lists(spark, f"{out}/candidate_pairs").collect()}
+    kept = {(r.s1_id, r.cand_id) for r in scored.where(F.col("total") >= cut).collect()}
+    assert after.keys() == before.keys() and {(s, c) for s, x in after.items() for c in x} == kept and len(kept) < sum(map(len, before.values()))
+    matched = {(r.s1_id, c) for r in tsv.read_lists(spark, f"{out}/matching_results").collect() for c in filter(None, r["items"].split(","))}
+    assert matched == {(r.s1_id, r.cand_id) for r in scored.where((F.col("total") >= cut) & (F.col("prob") >= m.tau)).collect()}
+    tsv.list_rows(spark.createDataFrame([("S1-1",)], "id string"), scored.limit(0), ["cand_id"]).select("s1_id").write.mode("overwrite").text(f"{out}/matching_results")
+    with pytest.raises(ValueError):
+        linkage.handoff(spark, out, f"{tmp_path}/fit/matcher", s1, str(tmp_path / "c.zip"))
+
+
+def test_store_and_encoding(spark, files, tmp_path):
+    tsv.write_store(tsv.read_records(spark, f"{files}/s2.tsv"), f"{tmp_path}/store")
+    got = {r.id: r.name for r in tsv.lookup(tsv.read_store(spark, f"{tmp_path}/store"), spark.createDataFrame([("S2-202",), ("S2-0",)], "id string")).collect()}
+    assert got == {"S2-202": "Beta Foods", "S2-0": None}
+    (tmp_path / "latin.tsv").write_bytes("\t".join(tsv.MATCH_HEADER).encode() + b"\nS1-101\tS2-\xe9\n")
+    ids = tsv.read_ids(spark, f"{files}/s1.tsv")
+    assert [r.rule for r in validate.validate_file(spark, f"{tmp_path}/latin.tsv", tsv.MATCH_HEADER, ids).collect()] == ["not UTF-8"]
+
+
 def test_package(tmp_path):
     (tmp_path / "src/target").mkdir(parents=True)
     (tmp_path / "src/target/x").write_text("1")
