@@ -130,9 +130,24 @@ def scanned(docs: DataFrame, sizes: dict[bool, int], gram: int) -> DataFrame:
     return map_batches(docs.select("_row", "_id", "_text"), run, f"_id {docs.schema['_id'].dataType.simpleString()}, _row long, n_bytes long, c1 long, c2 long, sha binary, runs array<struct<{RUN}>>")
 
 
-def _asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The texts with ranges asked of them: _row, _text, _ranges. ranges: one row for each _row."""
-    return docs.select("_row", "_text").join(ranges, "_row").select("_row", "_text", "_ranges")
+#: Words of 64 row numbers (about 50 bytes each) that are sent to all executors
+WORDS_SENT = 1_000_000
+
+
+def _among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose _row is among those of rows (a bit each, sent to all executors), or all docs if these are too many to be sent."""
+    word, bit = F.shiftright("_row", 6), F.col("_row").bitwiseAND(F.lit(63)).cast("int")
+    words = rows.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    if words.count() > WORDS_SENT:
+        return docs
+    asked = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return docs.withColumn("_word", word).join(F.broadcast(words), "_word").where(asked).drop("_word", "_bits")
+
+
+def _asked(docs: DataFrame, ranges: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts with ranges asked of them: _row, _text, _ranges. ranges: one row for each _row. rows: a table with the same values of _row.
+    Texts that nothing is asked of are left out before the others are brought to their ranges."""
+    return _among(docs.select("_row", "_text"), rows).join(ranges, "_row").select("_row", "_text", "_ranges")
 
 
 def _stretches(flags: np.ndarray) -> np.ndarray:
@@ -177,7 +192,7 @@ def _of_texts(docs: DataFrame, wanted: DataFrame, make, columns: list[tuple[str,
                 row = pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([row, *(pa.array([v[i] for v in rows], kind) for i, (_, kind) in enumerate(columns))], names=["_row", *(c for c, _ in columns)])
 
-    return map_batches(_asked(docs, ranges), run, f"_row long, {ddl}")
+    return map_batches(_asked(docs, ranges, wanted), run, f"_row long, {ddl}")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, sizes: dict[bool, int]) -> DataFrame:
@@ -208,6 +223,7 @@ def ranges(docs: DataFrame, found: DataFrame, sizes: dict[bool, int], gram: int,
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     occ = runs.join(shared, "key").join(whole, "_row", "left").where("kept is null or kept").withColumn("whole", F.col("kept").isNotNull()).drop("kept")
     occ = scratch.put("runs0", occ)
+    scratch.drop("scanned")  # the most bytes of all tables
     size = F.when(F.col("long"), F.lit(length)).otherwise(F.lit(sizes.get(False, length)))
     extent = F.col("z") - F.col("a") + size
     out, level = [], 0
@@ -252,8 +268,9 @@ def _covered(ranges) -> F.Column:
 
 def _found(rows: DataFrame, scratch: Scratch, sizes: dict[bool, int], gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = scratch.put("scanned", scanned(rows, sizes, gram))
+    known = scratch.put("known", found.drop("runs"))
     cut, copied = ranges(rows, found, sizes, gram, scratch)
-    return found.drop("runs"), cut, copied.select("c1", "c2", F.lit(True).alias("copied"))
+    return known, cut, copied.select("c1", "c2", F.lit(True).alias("copied"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -262,7 +279,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     rows = scratch.numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
     found, cut, copied = _found(rows, scratch, {True: length, False: passage}, gram)
     is_long = F.filter("_ranges", lambda x: x["long"])
-    texts = _asked(rows, cut.select("_row", is_long.alias("_ranges")).where(F.size("_ranges") > 0))
+    long = cut.select("_row", is_long.alias("_ranges")).where(F.size("_ranges") > 0)
+    texts = _asked(rows, long, long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,7 +3,7 @@ import random
 import brute
 import pytest
 
-from tallyweave.llm import repeats
+from tallyweave.llm import repeats, scratch
 
 
 def corpus(seed=2):
@@ -42,3 +42,21 @@ def test_documents(spark):
     assert got == sorted(brute.repeats([(r.doc_id, r.text) for r in docs.collect()]), key=str)
     assert any(r["n_spans"] for r in got)
     assert repeats.report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_texts_without_ranges_are_left_out(spark, monkeypatch, sent):
+    monkeypatch.setattr(repeats, "WORDS_SENT", sent)
+    numbers = [0, 1, 63, 64, 130, (5 << 36) + 63, (5 << 36) + 64]
+    docs = spark.createDataFrame([(n, f"text {n}") for n in numbers], "_row long, _text string")
+    wanted = docs.where("_row in (0, 63, 64, 343597383743)").select("_row")
+    got = sorted(r._row for r in repeats._among(docs, wanted.unionByName(wanted)).collect())
+    assert got == ([0, 63, 64, (5 << 36) + 63] if sent else numbers)
+    assert repeats._among(docs, wanted.limit(0)).count() == 0
+
+
+def test_runs_are_not_kept(spark, tmp_path, monkeypatch):
+    """The table of all runs is given up once the shared ones are written."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    repeats.report(spark.createDataFrame(corpus(), "doc_id long, text string"), length=50, passage=32, gram=8).count()
+    assert list(tmp_path.glob("*/known")) and not list(tmp_path.glob("*/scanned"))
