@@ -32,15 +32,22 @@ def attributes(records: DataFrame) -> DataFrame:
     return made.select("id", "nn", "an", F.array_distinct("nt").alias("nt"), F.array_distinct("at").alias("at"), F.slice(numbers, 1, 4).alias("nums"), F.coalesce(pin.cast("long").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)).alias("pin"))
 
 
-def context(pairs: DataFrame) -> DataFrame:
-    """pairs with list size, best total and counts by S1, and with claims, best, mean and next lower best by candidate."""
-    row, cand = Window.partitionBy("s1_id"), Window.partitionBy("cand_id")
-    t = F.col("total")
-    pairs = pairs.withColumns({"n_cands": F.count(F.lit(1)).over(row), "best": F.max("total").over(row), "row_n_high": F.count_if(t >= 2.0).over(row), "row_n_med": F.count_if(t >= 1.5).over(row)})
+def _by_s1(pairs: DataFrame) -> DataFrame:
+    row, t = Window.partitionBy("s1_id"), F.col("total")
+    return pairs.withColumns({"n_cands": F.count(F.lit(1)).over(row), "best": F.max("total").over(row), "row_n_high": F.count_if(t >= 2.0).over(row), "row_n_med": F.count_if(t >= 1.5).over(row)})
+
+
+def _by_candidate(pairs: DataFrame) -> DataFrame:
+    cand, t = Window.partitionBy("cand_id"), F.col("total")
     pairs = pairs.withColumns({"claims": F.count(F.lit(1)).over(cand), "cand_sum": F.sum("total").over(cand), "cand_best": F.max("total").over(cand)})
     return pairs.withColumn("cand_next", F.coalesce(F.max(F.when(t < F.col("cand_best"), t)).over(cand), F.lit(0.0)))
 
 
+def context(pairs: DataFrame) -> DataFrame:
+    """pairs with list size, best total and counts by S1, and with claims, best, mean and next lower best by candidate."""
+    return _by_candidate(_by_s1(pairs))
+
+
 def _share(n: Column, of: Column) -> Column:
     return n / F.greatest(of, F.lit(1))
 
@@ -58,7 +65,8 @@ def _length_gap(a: str, b: str) -> Column:
 def pair_features(pairs: DataFrame, attrs_a: DataFrame, attrs_b: DataFrame, p: MatchParams = MatchParams(), fuzzy: bool = True) -> DataFrame:  # noqa: B008
     """s1_id, cand_id, total and FEATURES. Edit distances are 0 below the gate; token sets are compared whole, only counts are capped."""
     side = lambda df, c, s: df.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{s}") for x in ("nn", "an", "nt", "at", "nums", "pin")))
-    x = context(pairs).join(side(attrs_a, "s1_id", "a"), "s1_id").join(side(attrs_b, "cand_id", "b"), "cand_id")
+    # windows and join of a side in turn, so that pairs are dealt twice only
+    x = _by_candidate(_by_s1(pairs).join(side(attrs_a, "s1_id", "a"), "s1_id")).join(side(attrs_b, "cand_id", "b"), "cand_id")
     t, one = F.col("total"), lambda c: c.cast("double")
     equal_numbers = F.aggregate("nums_a", F.lit(0), lambda s, u: s + F.size(F.filter("nums_b", lambda v: v == u)))
     first = F.try_element_at("nums_a", F.lit(1)) == F.try_element_at("nums_b", F.lit(1))

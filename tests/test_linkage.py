@@ -158,3 +158,19 @@ def test_package(tmp_path):
     assert linkage.package(str(tmp_path / "o.zip"), [str(tmp_path / "r.txt")], str(tmp_path / "src")) == ["r.txt", "src/a.py"]
     with pytest.raises(FileNotFoundError):
         linkage.package(str(tmp_path / "o.zip"), [str(tmp_path / "no")], str(tmp_path / "src"))
+
+
+def test_pairs_are_dealt_twice_for_features(spark, monkeypatch):
+    """Once by S1 record and once by candidate, each with the records' attributes."""
+    pairs = spark.range(50).selectExpr("concat('S1-', id % 9) AS s1_id", "concat('S2-', id) AS cand_id", *(f"double(id % 7) / {k} AS g{k - 1}" for k in (1, 2, 3, 4)), "double(id % 5) AS total", "int(id % 4) AS rank")
+    records = lambda s, n: features.attributes(spark.range(n).selectExpr(f"concat('{s}-', id) AS id", "concat('name ', id) AS name", "concat(id, ' street') AS addr"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        made = features.pair_features(pairs, records("S1", 9), records("S2", 50), fuzzy=False)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 50
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange hashpartitioning(s1_id") == plan.count("Exchange hashpartitioning(cand_id") == 2
