@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.similarity import cosine, lev_sim, token_set_sim
 from ..params import MatchParams
+from . import scoring
 
 # The columns of the feature matrix, in its order.
 FEATURES = [
@@ -96,8 +97,8 @@ def with_vector_cosine(pairs: DataFrame, vectors_a: DataFrame, vectors_b: DataFr
     return x.withColumn(name, F.coalesce(cosine(F.col("_va"), F.col("_vb")), F.lit(0.0))).drop("_va", "_vb")
 
 
-def labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    return pairs.join(truth.select("s1_id", "cand_id", F.lit(1).alias("y")), ["s1_id", "cand_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+def labels(pairs: DataFrame, truth: scoring.Truth) -> DataFrame:
+    return scoring.flagged(pairs, truth).withColumnRenamed("hit", "y")
 
 
 def unresolved(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import blocking, features, learning, scoring, validate
 from tallyweave.params import BlockParams, MatchParams
-from tallyweave.plans import linkage, surrogate
+from tallyweave.plans import linkage, queries, surrogate
 from tallyweave.sources import tsv
 
 S1 = [("S1-101", "Acme Trading Co", "12 Main St", "US"), ("S1-102", "Beta Foods Pvt Ltd", "8 Market Road", "India"), ("S1-103", "Gamma SARL", "5 Rue de la Paix", "France"), ("S1-104", "Nowhere", "", "Peru")]
@@ -174,3 +174,46 @@ def test_pairs_are_dealt_twice_for_features(spark, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert plan.count("Exchange hashpartitioning(s1_id") == plan.count("Exchange hashpartitioning(cand_id") == 2
+
+
+def _grouped(spark):
+    """Two S1 records with one target each and none, and a group of 40 S1 records and 60 targets."""
+    s1 = spark.range(42).selectExpr("concat('S1-', id) AS s1_id", "if(id < 40, 0L, id) AS grp", "if(id < 40, 60L, 1L) AS n_true")
+    targets = spark.range(62).selectExpr("concat('S2-', id) AS cand_id", "if(id < 60, 0L, id - 20) AS grp")
+    pairs = s1.join(targets, "grp").select("s1_id", "cand_id")
+    cands = spark.range(0, 42).selectExpr("concat('S1-', id) AS s1_id", "explode(sequence(0, 61, 7)) AS j").selectExpr("s1_id", "concat('S2-', j) AS cand_id", "double(j) / 30 AS total", "int(j / 7) AS rank")
+    return scoring.Groups(s1, targets), pairs, cands, spark.range(45).selectExpr("concat('S1-', id) AS s1_id", "if(id % 2 = 0, 'US', 'FR') AS country")
+
+
+def test_truth_as_groups_and_as_pairs(spark):
+    """All measures are those of the listed pairs."""
+    groups, pairs, cands, ids = _grouped(spark)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    gts = scoring.gt_counts(ids.select("s1_id"), pairs)
+    assert rows(scoring.gt_counts(ids.select("s1_id"), groups)) == rows(gts)
+    assert rows(features.labels(cands, groups)) == rows(features.labels(cands, pairs)) and features.labels(cands, groups).where("y = 1").count() > 100
+    assert features.labels(cands, groups).columns == features.labels(cands, pairs).columns
+    for f in (lambda t: scoring.sweep(cands, t, gts, "total", [0.2, 0.9, 1.7]), lambda t: scoring.cutoff_sweep(cands, t, gts, "total", 0.9), lambda t: scoring.recall_at_k(cands, t, ids)):
+        assert [tuple(map(lambda v: round(v, 9) if isinstance(v, float) else v, r)) for r in rows(f(groups))] == [tuple(map(lambda v: round(v, 9) if isinstance(v, float) else v, r)) for r in rows(f(pairs))]
+    for few in (cands, cands.where("rank < 2")):
+        assert rows(scoring.misses(few, groups, gts, None)) == rows(scoring.misses(few, pairs, gts, None))
+        assert scoring.misses(few, groups, gts, 50).collect() == scoring.misses(few, pairs, gts, 50).collect()
+
+
+def test_truth_of_a_run_grows_with_the_records(spark, tmp_path, monkeypatch):
+    """300 copies on one side and 600 on the other are 180,000 true pairs, which are neither written nor shuffled; all misses are returned."""
+    spark.range(900).selectExpr("id AS doc_id", "'en' AS lang", "'one two three four five six seven eight nine' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    run = surrogate.Run(spark, str(tmp_path))
+    assert run.truth.s1.count() == 300 and run.truth.targets.count() == 600
+    assert run.gts.where("gt_count = 600").count() == 300
+    monkeypatch.setattr(queries, "Run", lambda *_: run)
+    run.cands = run.truth.s1.selectExpr("s1_id", "'S2-1' AS cand_id", "0 AS rank")
+    assert queries.q_misses(spark, "").count() == queries.q_misses_short(spark, "").count() == 300 * 599
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = features.labels(run.cands, run.truth)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "Exchange hashpartitioning(s1_id" in plan and ", cand_id" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
