@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,11 +60,45 @@ def _trees(p: MatchParams, rounds: int, stop_early: bool) -> GBTClassifier:
     return t.setValidationIndicatorCol("held") if stop_early else t
 
 
+def _fit_twice(data: DataFrame, p: MatchParams) -> tuple[GBTClassificationModel, GBTClassificationModel]:
+    """The model that stops early, and the one on both folds with as many trees. A round is some small jobs that leave most cores idle, so
+    the second fit starts beside the first with all rounds; if the first stops before, it is given up and made anew."""
+    sc, tag = data.sparkSession.sparkContext, f"all-rounds-{uuid.uuid4().hex}"
+    made: list[GBTClassificationModel] = []
+    failed: list[Exception] = []
+
+    def ahead() -> None:
+        sc.addJobTag(tag)
+        try:
+            made.append(_trees(p, p.rounds, False).fit(data))
+        except Exception as e:
+            failed.append(e)
+
+    beside = InheritableThread(ahead, session=data.sparkSession)
+    beside.start()
+    try:
+        first = _trees(p, p.rounds, True).fit(data)
+        early = first.getNumTrees < p.rounds
+    except BaseException:
+        early = True
+        raise
+    finally:
+        if early:
+            while beside.is_alive():  # it may be between two jobs
+                sc.cancelJobsWithTag(tag)
+                beside.join(0.2)
+        beside.join()
+    if early:
+        return first, _trees(p, first.getNumTrees, False).fit(data)
+    if failed:
+        raise failed[0]
+    return first, made[0]
+
+
 def train(pairs: DataFrame, truth: DataFrame, gts: DataFrame, p: MatchParams = MatchParams(), features: list[str] = FEATURES) -> Matcher:  # noqa: B008
     """Fit with early stopping on one fold, fit again on both with that many trees, choose tau on the calibration fold. pairs: s1_id, cand_id, features, y."""
     data = _vectors(with_fold(pairs), features).where(F.col("fold") != CALIBRATION_FOLD).select("features", F.col("y").cast("double").alias("y"), (F.col("fold") == EVAL_FOLD).alias("held")).persist()
-    first = _trees(p, p.rounds, True).fit(data)
-    again = _trees(p, first.getNumTrees, False).fit(data)
+    first, again = _fit_twice(data, p)
     data.unpersist()
     m = Matcher(again, list(features), trees=first.getNumTrees)
     held = m.predict(_calibration(pairs)).select("s1_id", "cand_id", "prob", "sc_total").persist()

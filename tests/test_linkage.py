@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,27 @@ def test_truth_of_a_run_grows_with_the_records(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert "Exchange hashpartitioning(s1_id" in plan and ", cand_id" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+@pytest.mark.parametrize("noise", [False, True], ids=["all rounds", "stops early"])
+def test_both_fits_run_side_by_side(spark, monkeypatch, noise):
+    """The second fit has begun when the first is asked for, and is that of the first one's number of trees."""
+    begun, made, real = threading.Event(), [], learning._trees
+
+    def trees(p, rounds, stop_early):
+        if stop_early:
+            assert begun.wait(60)
+        begun.set()
+        made.append((rounds, stop_early))
+        return real(p, rounds, stop_early)
+
+    monkeypatch.setattr(learning, "_trees", trees)
+    y = "double(xxhash64(id) % 2 = 0)" if noise else "double(id % 10 > 4)"
+    rows = spark.range(400).selectExpr("id", f"{y} AS y", "double(id % 10) AS f", "id % 4 = 3 AS held")
+    data = learning._vectors(rows, ["f"]).select("features", "y", "held").persist()
+    p = MatchParams(rounds=4, depth=2, min_leaf=2, step=0.3)
+    first, again = learning._fit_twice(data, p)
+    assert (first.getNumTrees < 4) == noise and again.getNumTrees == first.getNumTrees
+    assert again.toDebugString.split("\n")[1:] == real(p, first.getNumTrees, False).fit(data).toDebugString.split("\n")[1:]
+    assert made[-1] == ((first.getNumTrees, False) if noise else (4, True))
+    data.unpersist()
