@@ -64,3 +64,25 @@ def test_lists_of_a_part_keep_ties_in_order():
 def test_a_token_twice_counts_twice():
     x = lists.part(0, np.array([4, 9]), pa.table({"n": [9, 4, 9], "t": [1, 1, 1], "w": [0.5, 1.0, 0.25]}))
     assert x.tokens.tolist() == [1] and x.starts.tolist() == [0, 2] and x.at.tolist() == [0, 1] and x.w.tolist() == [1.0, 0.75]
+
+
+def test_all_pairs_take_few_bytes(spark, tmp_path):
+    """Every one of 60 S1 records shares a word with every one of 30,000 targets. Written in the order of ids, a pair took over 4 bytes."""
+    a, b = (spark.range(n).selectExpr(f"concat('{s}-', id) AS id", "concat('common w', id % 50, ' v', id % 331) AS name", "concat('road ', id % 17, ' x', id % 101) AS addr", "'US' AS country") for s, n in (("S1", 60), ("S2", 30_000)))
+    blocking.scored_pairs(a, b, decimals=4).write.parquet(f"{tmp_path}/pairs")
+    files = [pq.ParquetFile(f).metadata for f in Path(tmp_path).rglob("*.parquet")]
+    columns = [m.row_group(i).column(j) for m in files for i in range(m.num_row_groups) for j in range(m.num_columns)]
+    assert sum(m.num_rows for m in files) == 60 * 30_000
+    assert sum(c.total_compressed_size for c in columns) < 3 * 60 * 30_000
+
+
+@pytest.mark.parametrize("g", [np.array([[0.5, 0, 0.5, 0.5, 0], [0, 0, 0, 0, 0], [0.25, 0.1, 0.2, 0.25, 0.1], [0.1, 0.3, 0.1, 0.1, 0.3]]), np.array([[9e8, 0, 9e8], [8e8, 1, 8e8], [0, 0, 0], [1, 2, 1]])], ids=["small", "large"])
+def test_equal_scores_stand_together(g):
+    got = [tuple(x) for x in g[:, lists._by_scores(g, 4)].T]
+    assert got == sorted(map(tuple, g.T))
+
+
+def test_parts_at_least(monkeypatch):
+    for k, v in {"PART": 10, "ROUND": 30, "SHARED": 4}.items():
+        monkeypatch.setattr(blocking, k, v)
+    assert blocking._dealt([("a", 25), ("b", 8)], {"a": 4, "b": 1})[0] == [("a", 4, 0), ("b", 1, 4)]
